@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from . import secrets, url_filter
 from .bpe import encode
 from .common import read
 from .packing import pack
@@ -16,6 +17,10 @@ def op1_byte_bpe(spark, sf_dir):
     return encode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op2_url_filter(spark, sf_dir):
+    return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
 def op3_packing(spark, sf_dir):
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -24,5 +29,9 @@ def op5_token_counts(spark, sf_dir):
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_packing, op5_token_counts)}
-ORACLES: dict[str, str] = {}
+def op10_secrets(spark, sf_dir):
+    return secrets.digest(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op3_packing, op5_token_counts, op10_secrets)}
+ORACLES: dict[str, str] = {"op2_url_filter": url_filter.oracle_sql()}
