@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import quality_rules, secrets, url_filter
+from . import quality_classifier, quality_rules, secrets, toxicity, url_filter
 from .bpe import encode
 from .common import read
 from .packing import pack
@@ -25,10 +25,18 @@ def op3_packing(spark, sf_dir):
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_token_counts(spark, sf_dir):
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_quality_classifier(spark, sf_dir):
+    return quality_classifier.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -37,5 +45,5 @@ def op10_secrets(spark, sf_dir):
     return secrets.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op3_packing, op5_token_counts, op8_quality_rules, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op3_packing, op4_toxicity, op5_token_counts, op6_quality_classifier, op8_quality_rules, op10_secrets)}
 ORACLES: dict[str, str] = {"op2_url_filter": url_filter.oracle_sql()}
