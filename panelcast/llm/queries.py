@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import quality_classifier, quality_rules, secrets, toxicity, url_filter, vector_search
+from . import jaccard_join, quality_classifier, quality_rules, secrets, toxicity, url_filter, vector_search
 from .bpe import encode
 from .common import read
 from .packing import pack
@@ -46,9 +46,13 @@ def op8_quality_rules(spark, sf_dir):
     return quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard_join.join(read(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark, sf_dir):
     return secrets.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op3_packing, op4_toxicity, op5_token_counts, op6_quality_classifier, op7_nearest, op8_quality_rules, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op3_packing, op4_toxicity, op5_token_counts, op6_quality_classifier, op7_nearest, op8_quality_rules, op9_jaccard_join, op10_secrets)}
 ORACLES: dict[str, str] = {"op2_url_filter": url_filter.oracle_sql()}
