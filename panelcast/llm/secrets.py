@@ -93,7 +93,9 @@ def as_text(spans: str) -> Column:
 def redact(docs: DataFrame, mask: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
     """docs, each found span of the text replaced by ``mask`` (overlapping spans by one mask); other texts are unchanged."""
     fold = f"aggregate(spans, named_struct('at', 0, 'out', ''), (a, s) -> if(s.end <= a.at, a, named_struct('at', s.end, 'out', concat(a.out, if(s.start < a.at, '', concat(substring(text, a.at + 1, s.start - a.at), '{mask}'))))), a -> concat(a.out, substring(text, a.at + 1)))"
-    return scan(docs, scope).withColumn("text", F.expr(f"if(size(spans) > 0, {fold}, text)")).drop("base", "spans")
+    names = docs.columns
+    inner = docs.toDF(*[f"{c}__in" if c in ("base", "spans") else c for c in names])
+    return scan(inner, scope).withColumn("text", F.expr(f"if(size(spans) > 0, {fold}, text)")).select(inner.columns).toDF(*names)
 
 
 def digest(docs: DataFrame) -> DataFrame:
