@@ -1,0 +1,238 @@
+"""Url filters, quality rules, secrets, classifiers: brute force, edge cases, held-out accuracy."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from panelcast.llm import quality_classifier, quality_rules, secrets, toxicity, url_filter
+
+MORE = "doc_id long, text string, score string, kept string, spans long"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "s", "k", 3) for i, t in rows], MORE)
+
+
+# --- urls -------------------------------------------------------------------------------------------------------------
+
+
+def urls():
+    out = [None, "", "no scheme", "://", "http://", "HTTP://EXAMPLE.net/en/x", "http://a.b.net/", "http://net", "http://internet/", "http://example.com/de", "http://www.example.com/de/?q", "x://org/fr/1#f", "http://a.org/fr/", "http://a.example.net/en/"]
+    out += [f"http://shop.com/{'sale' if i % 3 else 'item'}/{i}.html" for i in range(30)] + [f"http://x.example.com/{lang}/{i}/a/b/c/d/e" for i in range(20) for lang in ("de", "en")] + ["http://shop.com/item/5.html"] * 3
+    return list(enumerate(out)) + [(None, "http://q.net/")]
+
+
+def test_urls(spark):
+    df = spark.createDataFrame([(i, u, "h", "r") for i, u in urls()], "page_id long, url string, host string, rule string")
+    got = url_filter.judge(df).collect()
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    con.sql("CREATE TABLE p AS SELECT CAST(page_id AS BIGINT) AS page_id, url FROM pages")
+    con.unregister("pages")
+    con.sql("CREATE VIEW pages AS SELECT * FROM p")
+    want = con.sql(url_filter.oracle_sql()).fetchall()
+    as_text = lambda rows: sorted(tuple(str(v) for v in r) for r in rows)
+    assert as_text((r.page_id, r.host, r.path, r.rule, r.verdict, r.template, r.purity) for r in got) == as_text(want)
+    by = {r.page_id: r for r in got}
+    assert (by[5].host, by[5].path, by[5].rule, by[5].verdict) == ("example.net", "/en/x", "example.net/en/", "allow")
+    assert by[6].rule == "net/" and by[7].rule is None and by[8].rule is None and by[9].rule is None and by[10].rule == "example.com/de/" and by[11].rule == "org/fr/"
+    assert by[0].host == by[0].path == by[2].host == ""
+    assert len(got) == len(urls())
+    assert url_filter.judge(df.limit(0)).count() == 0
+
+
+# --- quality rules ----------------------------------------------------------------------------------------------------
+
+CLEAN = "\n".join(" ".join(f"{a}{b}" for a, b in zip("ga ri mo le su ta pi".split(), (chr(97 + (i * k) % 23) * (1 + k % 3) for k in range(1, 8)))) + " gardens." for i in range(12))
+JUNK = "\n".join(" ".join(f"w{i}{k}***" for k in range(9)) for i in range(9))
+
+
+def base_by_loops(t):
+    words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    tri = Counter(zip(words, words[1:], words[2:]))
+    cover = set()
+    for i in range(len(words) - 2):
+        if tri[tuple(words[i : i + 3])] > 1:
+            cover |= {i, i + 1, i + 2}
+    seen, dup = set(), 0
+    for line in (t or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    n = len(words)
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, len(cover), n < 50 or 100 * len(cover) > 50 * n
+
+
+ROWS = [(1, CLEAN), (2, JUNK), (3, None), (4, ""), (5, "\n\n \t"), (6, "a b c " * 40), (7, "a\nb\na\n\u00a0\n"), (1, CLEAN), (None, CLEAN), (8, "x" * 50_000 + " y"), (9, CLEAN + "\n" + JUNK)]
+
+
+def test_rules(spark):
+    train = [(100 + i, CLEAN.replace("gardens", f"g{i}")) for i in range(20)] + [(200 + i, JUNK.replace("w", f"v{i}")) for i in range(20)]
+    labels = spark.createDataFrame([(i, int(i < 200), 0) for i, _ in train] + [(None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
+    d = docs(spark, ROWS + train)
+    got = quality_rules.judge(d, labels).where("doc_id < 100 or doc_id is null").collect()
+    cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert sorted((str(r.doc_id), *(r[c] for c in cols)) for r in got) == sorted((str(i), *base_by_loops(t)) for i, t in ROWS)
+    kept = Counter((r.doc_id, r.kept) for r in got)
+    assert kept[1, True] == 2 and kept[2, False] == 1 and kept[None, True] == 1 and kept[6, False] == 1 and kept[3, False] == 1
+    stay = quality_rules.keep_good(d, labels)
+    assert stay.columns == d.columns and stay.where("doc_id = 1").first().kept == "k" and stay.where("doc_id = 2").count() == 0
+    # no labels: the base rules alone decide
+    assert all(r.kept == (not r.base_failed) for r in quality_rules.judge(d, labels.limit(0)).collect())
+    assert quality_rules.judge(d.limit(0), labels).count() == 0
+
+
+def test_viterbi_is_the_best_path():
+    g = np.random.default_rng(0)
+    f = quality_rules.Field()
+    f.w, f.t = g.normal(0, 1, f.w.shape), g.normal(0, 1, (2, 2))
+    x = g.normal(0, 1, (7, len(quality_rules.FEATURES)))
+    e = x @ f.w
+
+    def value(path):
+        return sum(e[i, s] for i, s in enumerate(path)) + sum(f.t[a, b] for a, b in zip(path, path[1:]))
+
+    best = max((tuple(k >> i & 1 for i in range(7)) for k in range(128)), key=value)
+    assert tuple(f.viterbi(x)) == best
+
+
+# --- secrets ----------------------------------------------------------------------------------------------------------
+
+SECRETS = [
+    (None, None), (1, ""), (2, "é AKIA" + "A1" * 9 + ' x password: "abcdef" secret=abc token=token=abcdef "secret" : \'s3cr3t.v\' ABCDEFGH12345678Z and aB3' + "xY9z" * 9 + " https://a.b/c "),
+    (3, "secret=token:abcdefgh tOkEn\x01=q password=ab\x02cdefgh 0123456789abcdef0123456789 apikey=123456 api_key:0123456789abcdef01234567 "), (4, "aB3" + "xY9z" * 9), (5, "https://a.b/c alone"),
+    (6, "ABCDEFGH12345678Z" + " far" * 200 + " aB3" + "xY9z" * 9), (7, "AKIAAKIA" + "Z" * 11 + " AKIA" + "Z" * 16 + "z"), (7, "AKIAAKIA" + "Z" * 11 + " AKIA" + "Z" * 16 + "z"), (8, "password=abcdef " * 3000), (9, "中😀password=abcdef"),
+]
+ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def strong(t):
+    t = t or ""
+    s = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[1]) >= 6]
+    s += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    s += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(s)
+
+
+def test_secrets(spark):
+    got = secrets.digest(docs(spark, SECRETS)).collect()
+    want = []
+    for i, t in SECRETS:
+        s = strong(t)
+        text = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in s)
+        want.append((str(i), *(sum(x[1] == k for x in s) for k in range(3)), hashlib.sha256(text.encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == sorted(want)
+    by = {r.doc_id: r.spans for r in got}
+    assert "id:98:115" in by[2] and "secret:120:159" in by[2] and "endpoint:160:173" in by[2]
+    # weak parts alone, or too far from what completes them, are not reported
+    assert by[4] == by[5] == by[6] == ""
+
+
+def test_redaction(spark):
+    d = docs(spark, SECRETS)
+    out = {r.doc_id: r for r in secrets.redact(d).collect()}
+    assert secrets.redact(d).columns == d.columns and out[9].text == "中😀[SECRET]" and out[4].text == SECRETS[4][1] and out[None].text is None
+    assert out[8].text == "[SECRET] " * 3000 and out[2].spans == 3
+    assert secrets.redact(d.limit(0)).count() == 0
+
+
+def test_secrets_stay_in_the_jvm(spark):
+    plan = secrets.digest(docs(spark, SECRETS))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# --- classifiers ------------------------------------------------------------------------------------------------------
+
+
+def crc(i, m):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % m
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    sf = "/root/testdata/sf0.01"
+    d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    extra = spark.createDataFrame([(None, None, "e", "s", 0), (-1, "", "e", "s", 0), (-2, None, "e", "s", 0), (-3, "word " * 30_000, "e", "s", 0), (-4, "\n \t", "e", "s", 0)], d.schema)
+    return d.unionByName(extra).withColumn("score", F.lit("own")), lab
+
+
+def test_quality(spark, labelled):
+    d, lab = labelled
+    got = quality_classifier.score(d, lab).join(lab, "doc_id", "left").collect()
+    assert len(got) == d.count() and all(0 <= r.score <= 1 for r in got)
+    assert all(r.held_out == (crc(r.doc_id, 5) == 0) and r.predicted == int(r.score >= 0.3) for r in got)
+    held = [r for r in got if r.held_out and r.quality is not None]
+    assert sum(r.predicted == r.quality for r in held) / len(held) > 0.9
+    assert sum(r.predicted for r in held if r.quality) / sum(r.quality for r in held) > 0.97
+    stay = quality_classifier.keep_good(d, lab)
+    assert stay.columns == d.columns and stay.first().score == "own"
+
+
+def test_quality_uses_no_held_out_labels(spark, labelled):
+    d, lab = labelled
+    flipped = lab.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = (sorted((r.doc_id or 0, r.score) for r in quality_classifier.score(d, x).collect()) for x in (lab, flipped))
+    assert a == b
+
+
+def test_classifiers_without_labels(spark, labelled):
+    d, lab = labelled
+    d = d.limit(20)
+    assert {r.score for r in quality_classifier.score(d, lab.limit(0)).collect()} == {0.5}
+    assert {r.score for r in toxicity.score(d, lab.limit(0)).collect()} == {0.0}
+    assert toxicity.score(d.limit(0), lab.limit(0)).count() == quality_classifier.score(d.limit(0), lab.limit(0)).count() == 0
+
+
+def test_toxicity_learns(spark, labelled):
+    d, lab = labelled
+    got = toxicity.score(d, lab).join(lab, "doc_id", "left").collect()
+    assert len(got) == d.count() and all(0 <= r.score <= 1 for r in got)
+    assert all(r.held_out == (crc(r.doc_id, 3) == 1) and r.predicted == int(r.score >= 0.7) for r in got)
+    held = [r for r in got if r.held_out and r.toxic is not None]
+    p, n = [r.score for r in held if r.toxic], [r.score for r in held if not r.toxic]
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in p for b in n])
+    assert auc > 0.8
+
+
+def test_gradients():
+    """Backward passes against finite differences."""
+    net = toxicity.Network()
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    g = np.random.default_rng(0)
+    x = g.normal(0, 1, (5, 3, 6 * toxicity.HIDDEN))
+    length = np.array([5, 3, 1])
+    up = g.normal(0, 1, 3)
+    _, kept = net.windows(x, length, keep=True)
+    d, dg = net.back(up, kept, length)
+    f = lambda: float(net.windows(x, length) @ up)
+    for name in ("u", "q", "w", "b"):
+        flat, k = net.p[name].reshape(-1), g.integers(net.p[name].size)
+        old = flat[k]
+        flat[k] = old + 1e-3
+        hi = f()
+        flat[k] = old - 1e-3
+        lo = f()
+        flat[k] = old
+        assert d[name].reshape(-1)[k] == pytest.approx((hi - lo) / 2e-3, rel=0.05, abs=1e-3)
+    x[2, 1, 7] += 1e-3
+    hi = f()
+    x[2, 1, 7] -= 2e-3
+    assert dg[2, 1, 7] == pytest.approx((hi - f()) / 2e-3, rel=0.05, abs=1e-3)
+
+
+def test_all_windows_are_read():
+    for n in (1, 31, 32, 33, 48, 49, 500):
+        starts = toxicity.starts_of(n)
+        covered = {i for s in starts for i in range(s, min(n, s + toxicity.WINDOW))}
+        assert covered == set(range(n))
+    net = toxicity.Network()
+    s = toxicity.Scorer(net, kept=10)
+    texts = ["a b c", " ".join(f"w{i}" for i in range(200)), "", "a b c"]
+    one = s.score(texts)
+    assert one[0] == one[3] and one[2] == 0 and np.allclose(one, [toxicity.Scorer(net).score([t])[0] for t in texts])
