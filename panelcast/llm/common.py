@@ -42,6 +42,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_names(docs: DataFrame) -> DataFrame:
+    """docs, every column but doc_id and text renamed, so that none clashes with an operator's own."""
+    return docs.toDF(*[c if c in ("doc_id", "text") else f"in__{k}" for k, c in enumerate(docs.columns)])
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """A pyarrow schema from ``name type`` pairs; types: long, int, double, string, binary, boolean and lists of long."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<float>": pa.list_(pa.float32())}

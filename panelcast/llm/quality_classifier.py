@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, arrow_schema, batch, slices
+from .common import WORD, arrow_schema, batch, own_names, slices
 from .labelled import fold, sampled
 
 SAMPLE, DIMS, RANK, K, POWER, THRESHOLD = 3_000, 384, 48, 15, 8, 0.3
@@ -139,5 +139,5 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """The documents predicted to be good, with their columns."""
     names = docs.columns
-    inner = docs.toDF(*["score__in" if c == "score" else c for c in names])
+    inner = own_names(docs)
     return _scored(inner, labels, sample, inner.columns).where(F.col("score") >= threshold).select(inner.columns).toDF(*names)

@@ -9,7 +9,7 @@ blocks, so a join never compares parts that are far apart.
 Positions come from marking the matches in the text and adding up the lengths between the marks.
 
 Defined results: null text is empty and has no spans; a null doc_id stays null; equal rows each give a row; ``scan`` keeps the
-further columns of documents, columns named like its own results are replaced.
+further columns of documents but replaces those named like its own; ``redact`` keeps all.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import own_names, stored
 
 SCOPE = 200
 #: Kinds in the order in which spans of equal start are listed.
@@ -94,7 +94,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", scope: int = SCOPE) -> DataF
     """docs, each found span of the text replaced by ``mask`` (overlapping spans by one mask); other texts are unchanged."""
     fold = f"aggregate(spans, named_struct('at', 0, 'out', ''), (a, s) -> if(s.end <= a.at, a, named_struct('at', s.end, 'out', concat(a.out, if(s.start < a.at, '', concat(substring(text, a.at + 1, s.start - a.at), '{mask}'))))), a -> concat(a.out, substring(text, a.at + 1)))"
     names = docs.columns
-    inner = docs.toDF(*[f"{c}__in" if c in ("base", "spans") else c for c in names])
+    inner = own_names(docs)
     return scan(inner, scope).withColumn("text", F.expr(f"if(size(spans) > 0, {fold}, text)")).select(inner.columns).toDF(*names)
 
 
