@@ -186,7 +186,9 @@ def test_words_are_those_of_the_definition():
         jaccard_join._PIECE = old
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1 << 18])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     g = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(g.randint(200, 260), g.randint(200, 260)) for _ in range(50)] + [(5, 5)]
     parent = {}
@@ -203,3 +205,34 @@ def test_components(spark):
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in linked}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_pipeline(spark):
+    """Every stage on its predecessor's rows, held against what the stage should keep, and packed tokens against the texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from panelcast.llm import quality_classifier, quality_rules, secrets
+    from panelcast.llm.common import read, stored
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    assert 4 <= len(corpus_pipeline.STAGES) <= 5
+    kept = [docs]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept.append(stored(stage(spark, kept[-1], sf), "t"))
+        assert kept[-1].dtypes == docs.dtypes
+    ids = [{r.doc_id for r in k.select("doc_id").collect()} for k in kept]
+    assert ids[1] == {r.doc_id for r in quality_rules.judge(docs, labels).where("kept").collect()}
+    assert ids[2] == {r.doc_id for r in quality_classifier.score(kept[1], labels).where("predicted = 1").collect()}
+    least = {i: int(c) for i, _, c in join_by_pairs([(r.doc_id, r.text) for r in kept[2].collect()])}
+    assert ids[3] == {c for c in least.values()} and ids[4] == ids[3]
+    texts = {r.doc_id: r.text for r in kept[4].collect()}
+    assert all(not r.spans for r in secrets.digest(kept[4]).collect())
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in texts.items()}
+    got = defaultdict(int)
+    for r in corpus_pipeline.run(spark, sf).collect():
+        got[r.doc_id] += r.length
+    assert got == want
