@@ -99,9 +99,9 @@ def bars(spark, sf_dir):
     return six(sources.market(spark, sf_dir)).withColumn("i", C("i").cast("int"))
 
 
-@query(f"{BARS}\nSELECT stk, i, date, round(p, 6) AS p FROM bars WHERE date >= 19940101 AND date < 19950101")
+@query(f"{BARS}\nSELECT stk, i, date, round(p, 6) AS p FROM bars WHERE date >= 19970101 AND date < 19980101")
 def date_range(spark, sf_dir):
-    return six(sources.date_range(sources.market(spark, sf_dir), 19940101, 19950101).select("stk", C("i").cast("int").alias("i"), "date", "p"))
+    return six(sources.date_range(sources.market(spark, sf_dir), 19970101, 19980101).select("stk", C("i").cast("int").alias("i"), "date", "p"))
 
 
 @query(f"{BARS},\nt AS (SELECT *, row_number() OVER (PARTITION BY stk ORDER BY i DESC) AS back FROM bars)\nSELECT stk, CAST(row_number() OVER (PARTITION BY stk ORDER BY i) - 1 AS INT) AS i, round(p, 6) AS p, v FROM t WHERE back <= 250")
