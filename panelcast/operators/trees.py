@@ -1,9 +1,19 @@
-"""Boosted trees on absolute loss, by MLlib; leaf-wise growth is not available there, so forecasts differ in detail from other libraries."""
+"""Walk-forward boosted trees on absolute loss, in numpy.
+
+At row t = warm, warm + refit, ... a model is fitted on pairs (features of row k, return of row k + 1), k < t, and scores the rows
+t .. t + refit - 1. Features are binned by quantiles of the training rows (at most ``BINS``). Trees grow by the signs of the
+residuals, best split first, up to ``depth`` levels and ``leaves`` leaves; a leaf's value is the median residual of its rows. Every
+tree draws a share ``PART`` of the features, and every ``FREQ`` trees a share ``PART`` of the rows.
+
+The fits are independent, so they are dealt to tasks: per key in ``SPLIT`` groups, pooled in a group per fit. A pooled fit needs the
+rows of all keys before t in one task, so those must fit its memory; the rows of a block are repeated for each later fit."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+import heapq
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,18 +21,103 @@ from ..functions import clip
 from . import windows as W
 from .features import NAMES
 
+BINS, PART, FREQ, SPLIT = 255, 0.8, 5, 8
+
+
+def binned(x: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, int]:
+    """Codes (features, rows of x, then of new) and how many a feature has at most; a bin holds three rows or more."""
+    bins = max(2, min(BINS, len(x) // 3))
+    at = np.linspace(0, 1, bins + 1)[1:-1]
+    both = np.concatenate([x, new])
+    return np.stack([np.searchsorted(np.unique(np.quantile(x[:, f], at)), both[:, f]) for f in range(x.shape[1])]), bins
+
 
-def predict(feats: DataFrame, warm: int = 100, refit: int = 40, rounds: int = 300, rate: float = 0.02, depth: int = 4, least: int = 50, shrink: float = 0.10, most: float = 0.03, last_fit: int | None = None, seed: int = 7, key: str = "stk") -> DataFrame:
-    """key, i, p, raw, y_pred by one model over all keys of ``feats`` per refit (filter to one key for a model of its own).
+def _last_split(gains: list[np.ndarray]) -> tuple[int, int]:
+    """The (level, node) that best-first growth would split last."""
+    heap, last = [(-gains[0][0], 0, 0)], (0, 0)
+    while heap:
+        _, level, node = heapq.heappop(heap)
+        last = level, node
+        if level + 1 < len(gains):
+            for child in (2 * node, 2 * node + 1):
+                if gains[level + 1][child] > 0:
+                    heapq.heappush(heap, (-gains[level + 1][child], level + 1, child))
+    return last
 
-    Every refit is a Spark job of many; their number is (rows - warm) / refit, or up to ``last_fit``."""
-    df = VectorAssembler(inputCols=NAMES, outputCol="x").transform(feats.withColumn("label", F.lead("r").over(W.by_key(key)))).select(key, "i", "p", "x", "label")
+
+def boosted(x: np.ndarray, y: np.ndarray, new: np.ndarray, rounds: int, rate: float, depth: int, leaves: int, least: int, seed: list[int]) -> np.ndarray:
+    """Forecasts for the rows ``new`` by trees fitted on x and y."""
+    g = np.random.default_rng(seed)
+    n, d = x.shape
+    codes, bins = binned(x, new)
+    every, own = np.arange(n + len(new)), np.arange(n)
+    score = np.full(n + len(new), np.median(y))
+    drawn = max(1, round(PART * d))
+    for turn in range(rounds):
+        if turn % FREQ == 0:
+            own = np.sort(g.choice(n, max(1, round(PART * n)), replace=False))
+            mine = codes[:, own]
+        chosen = np.sort(g.choice(d, drawn, replace=False))
+        keys = mine[chosen] + (np.arange(drawn) * bins)[:, None]
+        rest = y[own] - score[own]
+        sign = np.broadcast_to(np.sign(rest), keys.shape).ravel()
+        node, gains = np.zeros(len(every), np.int64), []
+        for level in range(depth):
+            shape = (1 << level, drawn, bins)
+            flat = (keys + node[own] * (drawn * bins)).ravel()
+            size = np.cumsum(np.bincount(flat, minlength=shape[0] * drawn * bins).reshape(shape), 2)
+            left = np.cumsum(np.bincount(flat, sign, shape[0] * drawn * bins).reshape(shape), 2)
+            n_all, s_all = size[..., -1:], left[..., -1:]
+            ok = (size >= least) & (n_all - size >= least)
+            gain = np.where(ok, left**2 / np.maximum(size, 1) + (s_all - left) ** 2 / np.maximum(n_all - size, 1) - s_all**2 / np.maximum(n_all, 1), 0).reshape(shape[0], -1)
+            best = gain.argmax(1)
+            top = gain[np.arange(shape[0]), best]
+            top = np.where(top > 1e-9, top, 0)
+            # a node without a split passes all rows to its left child
+            feature, cut = chosen[best // bins], np.where(top > 0, best % bins, bins)
+            gains.append(top)
+            node = 2 * node + (codes[feature[node], every] > cut[node])
+        if sum(int((x > 0).sum()) for x in gains) >= leaves:
+            level, at = _last_split(gains)
+            low = at << (depth - level)
+            node[(node >= low) & (node < low + (1 << (depth - level)))] = low
+        value, order = np.zeros(1 << depth), np.argsort(node[own], kind="stable")
+        ends = np.cumsum(np.bincount(node[own], minlength=1 << depth))
+        for k, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends)):
+            if b > a:
+                value[k] = np.median(rest[order[a:b]])
+        score += rate * value[node]
+    return score[n:]
+
+
+def predict(feats: DataFrame, warm: int = 100, refit: int = 40, rounds: int = 300, rate: float = 0.02, depth: int = 4, least: int = 50, shrink: float = 0.10, most: float = 0.03, last_fit: int | None = None, seed: int = 7, key: str = "stk", leaves: int = 15, pooled: bool = True) -> DataFrame:
+    """key, i, p, raw, y_pred by one model per refit over all keys of ``feats``, or with ``pooled`` off by one per key and refit.
+
+    ``last_fit``: no refits after this row."""
+    df = feats.select(key, "i", "p", *NAMES, F.lead("r").over(W.by_key(key)).alias("label"))
+    out = df.where(F.col("i") < warm).select(key, "i", "p", F.lit(0.0).alias("raw"))
     longest = feats.agg(F.max("i")).first()[0]
-    out = df.where(F.col("i") < warm).withColumn("raw", F.lit(0.0))
     fits = [] if longest is None else [t for t in range(warm, longest + 1, refit) if last_fit is None or t <= last_fit]
-    model = GBTRegressor(featuresCol="x", labelCol="label", predictionCol="raw", lossType="absolute", maxIter=rounds, stepSize=rate, maxDepth=depth, minInstancesPerNode=least, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
-    for k, t in enumerate(fits):
-        until = F.lit(True) if k == len(fits) - 1 else F.col("i") < t + refit
-        fitted = model.fit(df.where((F.col("i") < t) & F.col("label").isNotNull()))
-        out = out.unionByName(fitted.transform(df.where((F.col("i") >= t) & until)))
+    if fits:
+        end = len(fits) - 1
+        parts = len(fits) if pooled else min(SPLIT, len(fits))
+        # the first fit that scores or learns from a row, and the last fit of a part
+        first = F.when(F.col("i") < warm, 0).otherwise(F.least(F.floor((F.col("i") - warm) / refit), F.lit(end))).cast("int")
+        each = df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).where(end - (end - F.col("part")) % parts >= first)
+        by = ["part"] if pooled else [key, "part"]
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values([key, "i"])
+            i, x, y, raw = pdf.i.to_numpy(), pdf[NAMES].to_numpy(), pdf.label.to_numpy(float), np.full(len(pdf), np.nan)
+            for k in range(int(pdf.part.iloc[0]), end + 1, parts):
+                t = fits[k]
+                new = (i >= t) & ((i < t + refit) | (k == end))
+                old = (i < t) & np.isfinite(y)
+                if new.any():
+                    raw[new] = boosted(x[old], y[old], x[new], rounds, rate, depth, leaves, least, [seed, k]) if old.any() else 0.0
+            return pd.DataFrame({key: pdf[key], "i": pdf.i, "p": pdf.p, "raw": raw})[~np.isnan(raw)]
+
+        # a number of partitions of its own: each group is much work on few bytes, which adaptive execution would put together
+        tasks = max(parts, feats.sparkSession.sparkContext.defaultParallelism * 4)
+        out = out.unionByName(each.repartition(tasks, *by).groupBy(*by).applyInPandas(run, f"{key} string, i int, p double, raw double"))
     return out.select(key, "i", "p", "raw", F.when(F.col("i") < warm, 0.0).otherwise(clip(F.col("raw") * shrink, most)).alias("y_pred"))

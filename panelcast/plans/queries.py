@@ -359,12 +359,12 @@ def scale_blend(spark, sf_dir):
 
 @query()
 def pred_gbt_pooled(spark, sf_dir):
-    return six(R.gbt_pooled(bars_of(spark, sf_dir), rounds=8, last_fit=100).select("stk", "i", "y_pred"))
+    return six(R.gbt_pooled(bars_of(spark, sf_dir)).select("stk", "i", "y_pred"))
 
 
 @query()
 def pred_gbt(spark, sf_dir):
-    return six(R.gbt_one(bars_of(spark, sf_dir), "Brand#11", rounds=8, last_fit=100).select("stk", "i", "y_pred"))
+    return six(R.gbt(bars_of(spark, sf_dir)).select("stk", "i", "y_pred"))
 
 
 # --- addresses --------------------------------------------------------------------------------------------------------

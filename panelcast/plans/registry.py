@@ -93,9 +93,10 @@ def gbt_pooled(bars: DataFrame, **changes) -> DataFrame:
     return trees.predict(features(bars), **changes)
 
 
-def gbt_one(bars: DataFrame, stk: str, **changes) -> DataFrame:
-    """Trees on one key alone."""
-    return trees.predict(features(bars.where(F.col("stk") == stk)), **{"warm": 100, "refit": 20, "rounds": 200, "rate": 0.01, "depth": 3, "least": 20} | changes)
+@method("gbt")
+def gbt(bars: DataFrame, **changes) -> DataFrame:
+    """Trees on each key alone."""
+    return trees.predict(features(bars), **{"warm": 100, "refit": 20, "rounds": 200, "rate": 0.01, "depth": 3, "leaves": 8, "least": 20, "pooled": False} | changes)
 
 
 def rescaled(pred: DataFrame, old: float, new: float, most: float = 0.03) -> DataFrame:

@@ -121,6 +121,44 @@ def test_trees_keep_causality_and_bounds(spark):
     assert len(got) == 140 and not got[:100].any() and abs(got).max() <= 0.03
 
 
+@pytest.mark.parametrize("name", ["gbt", "gbt_pooled"])
+def test_trees_refit_on_every_key(spark, name):
+    p, v = walk(190, 12)
+    both = {"a": (p, v), "b": walk(170, 5)}
+    kw = {"rounds": 6, "least": 5, "refit": 20}
+    got = R.METHODS[name](bars(spark, both), **kw)
+    once = R.METHODS[name](bars(spark, both), last_fit=100, **kw)
+    for key, n in (("a", 190), ("b", 170)):
+        a, b = predicted(got, key), predicted(once, key)
+        # the first refit scores the same rows alike; later ones see more rows
+        assert len(a) == n and not a[:100].any() and a[100:].any() and np.allclose(a[:120], b[:120]) and not np.allclose(a[140:], b[140:])
+    changed = p.copy()
+    changed[150:] *= 1.5
+    assert np.allclose(predicted(R.METHODS[name](bars(spark, both | {"a": (changed, v)}), **kw))[:150], predicted(got)[:150])
+
+
+def test_registered_trees_cut_nothing(spark, monkeypatch):
+    from panelcast.operators import trees
+    from panelcast.plans import queries
+
+    seen = []
+    monkeypatch.setattr(trees, "predict", lambda feats, **kw: seen.append((feats.select("stk").distinct().count(), kw.get("rounds", 300), kw.get("last_fit"))) or feats.withColumn("y_pred", F.lit(0.0)))
+    monkeypatch.setattr(queries, "bars_of", lambda spark, sf_dir: bars(spark, {k: walk(5, 1) for k in "abc"}))
+    for q in ("pred_gbt", "pred_gbt_pooled"):
+        queries.QUERIES[q](spark, "")
+    assert seen == [(3, 200, None), (3, 300, None)]
+
+
+def test_trees_learn_a_step():
+    from panelcast.operators import trees
+
+    g = np.random.default_rng(3)
+    x = g.normal(0, 1, (600, 18))
+    y = np.where(x[:, 4] > 0.3, 1.0, -1.0)
+    got = trees.boosted(x[:500], y[:500], x[500:], 200, 0.05, 3, 8, 20, [1])
+    assert np.mean(np.sign(got) == y[500:]) > 0.95 and np.abs(got - y[500:]).mean() < 0.15
+
+
 def test_addresses(spark):
     names = spark.createDataFrame([("province", "Hà Nội"), ("province", "Huế"), ("ward", "Đống Đa"), ("ward", "Hoàn Kiếm"), ("street", "Quang Trung"), ("street", "3/2"), ("street", "Hoàn Kiếm")], "kind string, name string")
     cases = spark.createDataFrame([(0, "12 quang trung, Dong Da, Ha Noi", "Hà Nội", "Đống Đa", "Quang Trung"), (1, "3/2, hoan kiem, hue", "Huế", "Hoàn Kiếm", "3/2"), (2, "", "Huế", "Hoàn Kiếm", "3/2")], "id int, text string, province string, ward string, street string")
