@@ -27,6 +27,8 @@ SAMPLE, LINES, SHARE = 1_500, 32, 0.5
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _BARE = re.compile(r"(?<![^\x20\x09-\x0D])[#*$%&|<>]+(?![^\x20\x09-\x0D])")
 _SHOUT = re.compile(r"[!?]{2,}")
+#: What str.isdigit holds for: decimal digits and those like superscripts.
+_DIGITS = re.compile("[" + "\\d" + "".join(c for c in map(chr, range(0x110000)) if c.isdigit() and not c.isdecimal()) + "]")
 _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 FEATURES = ("bias", "symbols", "upper", "shouts", "duplicate", "short", "digits", "repeated", "long words", "bare symbols")
 _BASE = "n_words long,word_chars long,n_symbols long,n_dup_lines long,n_repeat_words long,base_failed boolean"
@@ -67,7 +69,7 @@ def analyse(text: str) -> tuple[tuple, np.ndarray, np.ndarray]:
         rows[:, 3] = np.minimum([len(_SHOUT.findall(x)) for x in lines] / counts, 1)
         rows[:, 4] = dup
         rows[:, 5] = counts < 3
-        rows[:, 6] = [sum(map(str.isdigit, x[:400])) / len(x[:400]) for x in lines]
+        rows[:, 6] = [len(_DIGITS.findall(x)) / len(x) for x in lines]
         rows[:, 7] = np.add.reduceat(repeated.astype(np.float32), starts) / counts
         rows[:, 8] = np.add.reduceat(np.fromiter(map(len, words), np.float32, n) > 25, starts, dtype=np.float32) / counts
         rows[:, 9] = [len(_BARE.findall(x)) for x in lines] / counts

@@ -88,6 +88,13 @@ def test_rules(spark):
     assert quality_rules.judge(d.limit(0), labels).count() == 0
 
 
+def test_digits_of_the_whole_line():
+    lines = ["prose " * 80 + "0123456789 " * 400, "x" * 400 + "12²٣", "no digits", "7 " * 3]
+    rows = quality_rules.analyse("\n".join(lines))[1]
+    k = quality_rules.FEATURES.index("digits")
+    assert np.allclose(rows[:, k], [sum(map(str.isdigit, x)) / len(x) for x in lines]) and rows[0, k] > 0.5 and rows[1, k] > 0
+
+
 def test_viterbi_is_the_best_path():
     g = np.random.default_rng(0)
     f = quality_rules.Field()
