@@ -7,7 +7,8 @@ fails it.
 The field is trained here: a bounded sample of labelled documents (``sample``; the least by a hash of doc_id) gives sequences
 of line features. Lines of good documents are content; which lines of bad documents are boilerplate is estimated by turns of
 decoding and training, starting from all of them. Training maximises the conditional likelihood by forward-backward gradients.
-The sample's sequences are at most ``LINES`` lines long in training; decoding takes all lines of all documents.
+Training cuts the sample's sequences into runs of ``LINES`` lines, each starting with the last line of the one before, so that every
+transition is in one of them; decoding takes whole documents.
 
 Defined results: null or empty text has no words, so the base rule fails it; without usable labels the field calls every line
 content and the base rules decide alone; a null doc_id stays null; equal rows each give a row.
@@ -130,6 +131,16 @@ class Field:
             self.t += rate * gt
 
 
+def runs(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """All lines in runs of LINES at most: (runs, lines, features), which lines exist, and (sequence, first line) of each run."""
+    of = [(i, a) for i, r in enumerate(sequences) for a in range(0, max(len(r) - 1, 1), LINES - 1)]
+    x, there = np.zeros((len(of), LINES, len(FEATURES))), np.zeros((len(of), LINES), bool)
+    for k, (i, a) in enumerate(of):
+        own = sequences[i][a : a + LINES]
+        x[k, : len(own)], there[k, : len(own)] = own, True
+    return x, there, of
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, turns: int = 3) -> Field:
     """The field from the documents of ``labels`` (doc_id, quality)."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -140,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, turns: int =
 
     def features(batches):
         for b in slices(batches):
-            rows = [analyse(t)[1][:LINES].tobytes() for t in b.column(1).to_pylist()]
+            rows = [analyse(t)[1].tobytes() for t in b.column(1).to_pylist()]
             yield batch(schema, [b.column(0), rows])
 
     found = docs.select("doc_id", "text").where("text is not null").join(chosen, F.col("doc_id") == F.col("_id")).select(F.col("quality").cast("int"), "text").mapInArrow(features, rows_ddl).collect()
@@ -148,20 +159,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, turns: int =
     field = Field()
     if len({q for _, q in found}) < 2:
         return field
-    x = np.zeros((len(found), LINES, len(FEATURES)))
-    there = np.zeros((len(found), LINES), bool)
-    for i, (r, _) in enumerate(found):
-        r = np.frombuffer(r, np.float32).reshape(-1, len(FEATURES))
-        x[i, : len(r)], there[i, : len(r)] = r, True
+    rows_ = [np.frombuffer(r, np.float32).reshape(-1, len(FEATURES)) for r, _ in found]
+    x, there, of = runs(rows_)
     bad = np.array([q == 0 for _, q in found])
-    y = np.repeat(bad[:, None], LINES, 1).astype(int)
+    states = [np.full(len(r), int(b)) for r, b in zip(rows_, bad, strict=True)]
     for turn in range(turns):
+        y = np.zeros(there.shape, int)
+        y[there] = np.concatenate([states[i][a : a + LINES] for i, a in of])
         field.fit(x, there, y)
         if turn < turns - 1:
             for i in np.flatnonzero(bad):
-                states = field.viterbi(x[i][there[i]])
-                if states.any():
-                    y[i, : len(states)] = states
+                new = field.viterbi(rows_[i])
+                if new.any():
+                    states[i] = new
     return field
 
 

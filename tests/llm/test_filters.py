@@ -95,6 +95,23 @@ def test_digits_of_the_whole_line():
     assert np.allclose(rows[:, k], [sum(map(str.isdigit, x)) / len(x) for x in lines]) and rows[0, k] > 0.5 and rows[1, k] > 0
 
 
+def test_training_reads_all_lines(spark, monkeypatch):
+    n = len(quality_rules.FEATURES)
+    sequences = [np.arange(k * n, dtype=np.float32).reshape(k, n) for k in (1, 31, 32, 33, 63, 64, 200)]
+    x, there, of = quality_rules.runs(sequences)
+    for i, s in enumerate(sequences):
+        own = [k for k, (j, _) in enumerate(of) if j == i]
+        assert {tuple(r) for k in own for r in x[k][there[k]]} == {tuple(r) for r in s}
+        # each transition in one run
+        assert sum(int(there[k].sum()) - 1 for k in own) == len(s) - 1
+    # the field is given the lines after the 32nd too
+    given = []
+    monkeypatch.setattr(quality_rules.Field, "fit", lambda self, x, there, y: given.append(x[there]))
+    rows = [(1, "plain words here\n" * 40), (2, "plain words here\n" * 40 + "### 123 !!!\n" * 60)]
+    quality_rules.train(docs(spark, rows), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert (given[0][:, quality_rules.FEATURES.index("symbols")] > 0).sum() >= 60
+
+
 def test_viterbi_is_the_best_path():
     g = np.random.default_rng(0)
     f = quality_rules.Field()
