@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,13 +11,18 @@ def fold(modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def sampled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, sample: int, balance: bool = False) -> DataFrame:
-    """(doc_id, text, y) of at most ``sample`` documents with a usable label: the least by a hash of doc_id, with ``balance`` half of them positive if there are as many. A doc_id with several labels counts as its largest."""
+def sampled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, sample: int, balance: bool = False, fill: bool = False) -> DataFrame:
+    """(doc_id, text, y) of at most ``sample`` of the documents with a text and a usable label: the least by a hash of doc_id, with ``balance`` half of them positive if there are as many. With ``fill`` a class short of its half leaves its places to the other. A doc_id with several labels counts as its largest."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).where(usable)
+    # only labels of documents that are there take places
+    texts = docs.where("text is not null").select("doc_id", "text")
+    known = known.join(texts.select("doc_id"), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), "doc_id"]
     if balance:
-        chosen = known.where("y = 1").orderBy(*order).limit(sample // 2).unionByName(known.where("y = 0").orderBy(*order).limit(sample - sample // 2))
+        half = {1: sample // 2, 0: sample - sample // 2}
+        parts = [known.where(F.col("y") == y).orderBy(*order).limit(sample if fill else n).withColumn("_more", F.row_number().over(Window.partitionBy("y").orderBy(*order)) > n) for y, n in half.items()]
+        chosen = parts[0].unionByName(parts[1]).orderBy("_more", *order).limit(sample).drop("_more")
     else:
         chosen = known.orderBy(*order).limit(sample)
     # the sample is a documented bound, so broadcasting it is one too
-    return docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return texts.join(F.broadcast(chosen), "doc_id")

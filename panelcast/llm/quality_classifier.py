@@ -2,7 +2,7 @@
 
 A text is a bag of word shapes (case, digits and symbols, runs collapsed) and word ends, hashed to two blocks of ``DIMS``
 counts, and of how often words follow themselves and word pairs come again, each in ``LEVELS`` steps. Logarithmic counts weighted by inverse document frequency are projected on the leading singular directions of a
-bounded sample of labelled documents (``sample``, the least by a hash of doc_id). The sample's vectors and labels, a few hundred
+bounded sample of labelled documents (``sample``, the least by a hash of doc_id, half of them of either label if there are as many). The sample's vectors and labels, a few hundred
 KB, are broadcast. Every document is compared with all of them by exact cosines, a block of documents at a time; its score is
 the mean label of the ``k`` most similar, weighted by a power of the similarity.
 
@@ -107,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Space:
         for b in slices(batches):
             yield batch(schema, [b.column(0), b.column(2), [counts(t).tobytes() for t in b.column(1).to_pylist()]])
 
-    chosen = sampled(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels, "quality", fold(5) != 0, sample)
+    chosen = sampled(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels, "quality", fold(5) != 0, sample, balance=True, fill=True)
     found = sorted((r.doc_id, bytes(r.row), r.y) for r in chosen.select("doc_id", "text", "y").mapInArrow(features, ddl).collect())
     rows = np.array([np.frombuffer(r, np.float32) for _, r, _ in found], np.float32).reshape(-1, WIDTH)
     return Space(rows, np.array([y for _, _, y in found], int))

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcast.llm import quality_classifier, quality_rules, secrets, toxicity, url_filter
+from panelcast.llm.labelled import sampled
 
 MORE = "doc_id long, text string, score string, kept string, spans long"
 
@@ -205,6 +206,17 @@ def test_quality_uses_no_held_out_labels(spark, labelled):
     assert a == b
 
 
+def test_samples_are_of_the_documents(spark):
+    n = 400
+    lab = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(n)], "doc_id long, quality int")
+    d = docs(spark, [(i, "t" if i % 20 else None) for i in range(n - 100, n)])
+    some = lambda **kw: sorted((r.doc_id, r.y) for r in sampled(d, lab, "quality", F.lit(True), 20, **kw).select("doc_id", "y").collect())
+    plain, half, fill = some(), some(balance=True), some(balance=True, fill=True)
+    # 90 good documents and 5 bad ones have a text
+    assert len(plain) == 20 and all(i >= n - 100 for i, _ in plain)
+    assert Counter(y for _, y in half) == {1: 10, 0: 5} and Counter(y for _, y in fill) == {1: 15, 0: 5}
+
+
 def test_classifiers_without_labels(spark, labelled):
     d, lab = labelled
     d = d.limit(20)
