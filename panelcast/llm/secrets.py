@@ -28,7 +28,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: The weak patterns.
 WEAK_ID = r"(?<![A-Za-z0-9])(?=[A-Z][A-Z0-9]{15})(?=[A-Z]*[0-9])[A-Z0-9]{16,32}(?![A-Za-z0-9])"
-WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{32})(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{32,64}(?![A-Za-z0-9+/_-])"
+WEAK_SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{32})(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{32,}"
 ENDPOINT = r"""https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s"'<>]*)?"""
 _OPEN, _MID, _SHUT, _OTHER = "\u0001", "\u0003", "\u0002", "\u0004"
 _SPAN = "array<struct<start:int,k:int,end:int>>"
