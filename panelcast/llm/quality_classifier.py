@@ -33,7 +33,7 @@ _OUT = "doc_id long,held_out boolean,score double,predicted int"
 
 def shape(word: str) -> str:
     """The word with letters as a or A, digits as 0, and runs collapsed."""
-    return _RUNS.sub(r"\1", "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word[:64]))
+    return _RUNS.sub(r"\1", "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word))
 
 
 class _Codes(dict):

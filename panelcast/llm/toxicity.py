@@ -29,6 +29,8 @@ from .labelled import fold, sampled
 SAMPLE, DRAWN, DRAWN_CLEAN, STEPS, RATE = 2_400, 20, 14, 420, 0.025
 WINDOW, STRIDE, HIDDEN, DIMS, BUCKETS, GRAMS = 32, 16, 8, 16, 1 << 14, (3, 4, 6)
 POOL, THRESHOLD = 2.0, 0.7
+#: Characters of a token.
+LONGEST = 200
 #: Words whose gate inputs a worker keeps.
 KEPT = 150_000
 _OUT = "doc_id long,held_out boolean,score double,predicted int"
@@ -40,9 +42,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint64(32))) % np.uint64(BUCKETS)).astype(np.int64)
 
 
+def words_of(text: str) -> list[str]:
+    """The words; one over ``LONGEST`` characters as consecutive pieces, so that all of it is read."""
+    words = WORD.findall(text)
+    if not words or len(max(words, key=len)) <= LONGEST:
+        return words
+    return [w[k : k + LONGEST] for w in words for k in range(0, len(w), LONGEST)]
+
+
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Embedding rows of words: (rows, word of each row, weight). Rows below BUCKETS are of words, the others of n-grams."""
-    lower = ["\x02" + w[:200].lower() + "\x03" for w in words]
+    lower = ["\x02" + w.lower() + "\x03" for w in words]
     codes = np.frombuffer("".join(lower).encode("utf-32-le"), np.uint32).astype(np.uint64)
     lengths = np.fromiter(map(len, lower), np.int64, len(lower))
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -244,7 +254,7 @@ class Scorer:
             return [self.network.constant if WORD.search(t) else 0.0 for t in texts]
         if len(self.index) > self.kept:
             self.clear()
-        docs = [self._ids(WORD.findall(t)) for t in texts]
+        docs = [self._ids(words_of(t)) for t in texts]
         self._fill()
         best = np.full(len(texts), -np.inf)
         full, owner = [], []
@@ -269,7 +279,7 @@ class Scorer:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     chosen = sampled(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels, "toxic", fold(3) != 1, sample, balance=True)
     rows = sorted((r.doc_id, r.text, r.y) for r in chosen.select("doc_id", "text", "y").collect())
-    rows = [(WORD.findall(t), y) for _, t, y in rows]
+    rows = [(words_of(t), y) for _, t, y in rows]
     rows = [(w, y) for w, y in rows if w]
     network, y = Network(), np.array([y for _, y in rows], np.float32)
     if len(set(y.tolist())) < 2:

@@ -269,6 +269,16 @@ def test_gradients():
     assert dg[2, 1, 7] == pytest.approx((hi - f()) / 2e-3, rel=0.05, abs=1e-3)
 
 
+def test_long_words_are_read_whole():
+    word = "".join(chr(0x4E00 + i % 997) for i in range(1_234))
+    pieces = toxicity.words_of(f"a {word} b")
+    assert "".join(pieces) == f"a{word}b" and max(map(len, pieces)) <= 200 and toxicity.words_of("") == []
+    s = toxicity.Scorer(toxicity.Network())
+    a, b = s.score([word, word[:900] + "xyz" * 50 + word[1_050:]])
+    assert a != b
+    assert quality_classifier.shape("ab" * 40 + "7!") == "a0!"
+
+
 def test_all_windows_are_read():
     for n in (1, 31, 32, 33, 48, 49, 500):
         starts = toxicity.starts_of(n)
