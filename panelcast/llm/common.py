@@ -24,24 +24,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (local tests), a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset in a local session, a temporary one."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = getattr(spark, "_panelcast_dir", None)
     if own is None:
         own = spark._panelcast_dir = "file://" + tempfile.mkdtemp(prefix="panelcast-")
     return own
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: its lineage ends there, so a lost executor costs no earlier stage."""
+def stored(df: DataFrame, name: str, made: list | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: its lineage ends there, so a lost executor costs no earlier stage. ``made`` gets the path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/panelcast-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, made: list) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for path in made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    made.clear()
+
+
 def own_names(docs: DataFrame) -> DataFrame:
     """docs, every column but doc_id and text renamed, so that none clashes with an operator's own."""
     return docs.toDF(*[c if c in ("doc_id", "text") else f"in__{k}" for k, c in enumerate(docs.columns)])
