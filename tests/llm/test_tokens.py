@@ -101,12 +101,28 @@ def test_differencing():
     assert len(w) == 10  # two do not fit, so the count rises from 6
 
 
-def test_padding_is_small(spark, sf):
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
+@pytest.mark.parametrize("tasks", [1, 32, 211])
+def test_padding_is_small(spark, tasks):
+    """Whatever the number of tasks that cut the texts."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(tasks)
     n = defaultdict(int)
     for r in packing.pack(d, JSON).collect():
         n[r.sequence_id] += r.length
-    assert sum(n.values()) / (2048 * len(n)) > 0.985
+    assert sum(n.values()) / (2048 * len(n)) > 0.99
+
+
+def test_pack_repeated_and_null(docs, spark):
+    """Rows of null doc_id and repeated rows are packed like others, each on its own."""
+    lib, want, got, seen = Tokenizer.from_file(JSON), defaultdict(int), defaultdict(int), defaultdict(list)
+    for i, t in TEXTS:
+        want[i] += len(lib.encode(t or "", add_special_tokens=False).ids) + 1
+    for r in packing.pack(docs, JSON).collect():
+        got[r.doc_id] += r.length
+        seen[r.sequence_id].append((r.offset, r.length))
+    assert got == want
+    for w in seen.values():
+        ends = [0, *(a + n for a, n in sorted(w))]
+        assert [a for a, _ in sorted(w)] == ends[:-1] and ends[-1] <= 2048
 
 
 def test_empty_table(spark):
