@@ -55,4 +55,4 @@ def op10_secrets(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op3_packing, op4_toxicity, op5_token_counts, op6_quality_classifier, op7_nearest, op8_quality_rules, op9_jaccard_join, op10_secrets)}
-ORACLES: dict[str, str] = {"op2_url_filter": url_filter.oracle_sql(), "op9_jaccard_join": jaccard_join.oracle_sql()}
+ORACLES: dict[str, str] = {"op2_url_filter": url_filter.oracle_sql(), "op9_jaccard_join": jaccard_join.oracle_sql(), "op10_secrets": secrets.oracle_sql()}

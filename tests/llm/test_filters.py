@@ -289,3 +289,30 @@ def test_all_windows_are_read():
     texts = ["a b c", " ".join(f"w{i}" for i in range(200)), "", "a b c"]
     one = s.score(texts)
     assert one[0] == one[3] and one[2] == 0 and np.allclose(one, [toxicity.Scorer(net).score([t])[0] for t in texts])
+
+
+def test_sql_of_the_scan(spark, tmp_path):
+    """Strong and linked spans of texts made of parts at random distances, as DuckDB finds them."""
+    import random
+
+    import duckdb
+
+    g = random.Random(4)
+    text = lambda of, n: "".join(g.choice(of) for _ in range(n))
+    secret = text("abcXYZ019+/_", 40)
+    parts = ["AKIA" + "A1" * 9, "password=abcdef12", "Api_Key: " + secret, secret, "ABCDEFGH12345678Z", text("0123456789abcdef", 30), "https://a.b/c?x=1", "é中", "secret = 'xx'", "token=https://a.b/" + secret, " " * 120, "x" * 90]
+    rows = [(i, " ".join(g.choice(parts) for _ in range(g.randint(0, 25)))) for i in range(200)] + [*SECRETS, (700, " ".join(parts) * 100)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = sorted(map(str, db.execute(secrets.oracle_sql()).fetchall()))
+    assert sorted(str(tuple(r)) for r in secrets.digest(spark.read.parquet(str(tmp_path / "d"))).collect()) == want
+    assert sum("secret:" in x for x in want) > 50 and sum("endpoint:" in x for x in want) > 50
+
+
+def test_many_matches_in_one_text(spark):
+    n = 30_000
+    d = docs(spark, [(1, "password=abcdef x é " * n)])
+    assert secrets.redact(d).first().text == "[SECRET] x é " * n
+    r = secrets.digest(d).first()
+    assert r.n_assign == n and r.spans.endswith(f"assign:{20 * (n - 1)}:{20 * (n - 1) + 15}")
