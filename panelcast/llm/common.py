@@ -8,6 +8,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII blanks.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -54,6 +55,21 @@ def remove(spark: SparkSession, made: list) -> None:
     made.clear()
 
 
+#: Keys of no more rows than this are always joined by a shuffle.
+HOT = 1_000
+
+
+def joined(left: DataFrame, right: DataFrame, keys: list[str], weight: str, rows: int) -> DataFrame:
+    """Left join of ``left``, of ``rows`` rows, with ``right``, which has one row per key; ``weight``: rows of ``left`` with that key.
+
+    Keys of more than a 65,536th of all rows, at most 65,536 of them, are broadcast, so no hot key meets in one task."""
+    hot = F.col(weight) > max(HOT, rows >> 16)
+    often = F.broadcast(right.where(hot).withColumn("_often", F.lit(True)))
+    split = left.join(often, keys, "left")
+    rare = split.where("_often is null").select(left.columns).join(right.where(~hot), keys, "left")
+    return split.where("_often").drop("_often").unionByName(rare)
+
+
 def own_names(docs: DataFrame) -> DataFrame:
     """docs, every column but doc_id and text renamed, so that none clashes with an operator's own."""
     return docs.toDF(*[c if c in ("doc_id", "text") else f"in__{k}" for k, c in enumerate(docs.columns)])

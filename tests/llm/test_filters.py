@@ -39,7 +39,7 @@ def test_urls(spark):
     con.sql("CREATE VIEW pages AS SELECT * FROM p")
     want = con.sql(url_filter.oracle_sql()).fetchall()
     as_text = lambda rows: sorted(tuple(str(v) for v in r) for r in rows)
-    assert as_text((r.page_id, r.host, r.path, r.rule, r.verdict, r.template, r.purity) for r in got) == as_text(want)
+    assert as_text((r.page_id, r.host, r.path, r.rule, r.verdict, r.template, r.purity, r.method) for r in got) == as_text(want)
     by = {r.page_id: r for r in got}
     assert (by[5].host, by[5].path, by[5].rule, by[5].verdict) == ("example.net", "/en/x", "example.net/en/", "allow")
     assert by[6].rule == "net/" and by[7].rule is None and by[8].rule is None and by[9].rule is None and by[10].rule == "example.com/de/" and by[11].rule == "org/fr/"
@@ -316,3 +316,20 @@ def test_many_matches_in_one_text(spark):
     assert secrets.redact(d).first().text == "[SECRET] x é " * n
     r = secrets.digest(d).first()
     assert r.n_assign == n and r.spans.endswith(f"assign:{20 * (n - 1)}:{20 * (n - 1) + 15}")
+
+
+def test_templates_against_held_out_rules(spark):
+    """Hosts whose rules the tree is not told: what it rejects there is what the rules block."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    hidden = F.crc32(F.col("host").cast("binary")) % 3 == 0
+    rows = url_filter.judge(pages, hidden=hidden).where(hidden & F.col("rule").isNotNull()).select("verdict", "method").collect()
+    right = Counter((r.verdict, r.method) for r in rows)
+    rejected = right["block", "block"] + right["allow", "block"]
+    assert right["block", "block"] >= 50 and right["block", "block"] / rejected >= 0.95
+    assert url_filter.judge(pages).where("rule is null and verdict = 'block'").count() > 0
+
+
+def test_template_of_other_hosts(spark):
+    urls = [f"http://a{i % 7}.net/shop/{i}" for i in range(40)] + [f"http://a{i % 7}.org/fr/{i}" for i in range(40)] + ["http://b.com/shop/x", "http://c.com/shop/77", "http://c.com/fr/78", "http://d.com/" + "s" * 100_000, None] + [f"http://e{i}.net" for i in range(40)]
+    got = {r.host + r.path: (r.verdict, r.template) for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert got["c.com/shop/77"] == ("block", "*/shop/{n}") and got["c.com/fr/78"][0] == "allow" and got["d.com/" + "s" * 100_000][0] == "allow" and got[""][0] == "allow"
