@@ -4,7 +4,7 @@ A document's lines are a sequence; a linear-chain conditional random field with
 and Viterbi decoding labels each line. A document stays if content lines hold at least ``share`` of its words and no base rule
 fails it.
 
-The field is trained here: a bounded sample of labelled documents (``sample``; the least by a hash of doc_id) gives sequences
+The field is trained here: a bounded sample of labelled documents (``sample``; the least by a hash of doc_id, of at most 64 KB each) gives sequences
 of line features. Lines of good documents are content; which lines of bad documents are boilerplate is estimated by turns of
 decoding and training, starting from all of them. Training maximises the conditional likelihood by forward-backward gradients.
 Training cuts the sample's sequences into runs of ``LINES`` lines, each starting with the last line of the one before, so that every
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, arrow_schema, batch, own_names, slices
+from .labelled import sampled
 
 SAMPLE, LINES, SHARE = 1_500, 32, 0.5
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -143,9 +144,7 @@ def runs(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[tupl
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, turns: int = 3) -> Field:
     """The field from the documents of ``labels`` (doc_id, quality)."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    # the sample is a documented bound, so broadcasting it is one too
-    chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "_id"))
+    chosen = sampled(docs.select(F.col("doc_id").cast("long"), "text"), labels, "quality", F.lit(True), sample)
     rows_ddl = "quality int,rows binary"
     schema = arrow_schema(rows_ddl)
 
@@ -154,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, turns: int =
             rows = [analyse(t)[1].tobytes() for t in b.column(1).to_pylist()]
             yield batch(schema, [b.column(0), rows])
 
-    found = docs.select("doc_id", "text").where("text is not null").join(chosen, F.col("doc_id") == F.col("_id")).select(F.col("quality").cast("int"), "text").mapInArrow(features, rows_ddl).collect()
+    found = chosen.select(F.col("y").alias("quality"), "text").mapInArrow(features, rows_ddl).collect()
     found = sorted((bytes(r.rows), int(r.quality)) for r in found if r.rows)
     field = Field()
     if len({q for _, q in found}) < 2:

@@ -5,14 +5,14 @@ Each word enters as the sum of a hashed word embedding and the mean embedding of
 attention, and one output unit gives its logit. A document's score is the sigmoid of its largest window logit.
 
 Labels belong to documents, not to windows: training pools the window logits of a document by a log-mean-exp, so the gradient
-finds the windows that make a document toxic. It uses a bounded sample of labelled documents (``sample``, half of them toxic
-if there are as many) and at most ``DRAWN`` windows of each toxic one and ``DRAWN_CLEAN`` of each other one per pass, drawn anew. Scoring reads all windows of all documents.
+finds the windows that make a document toxic. It uses a bounded sample of labelled documents (``sample``, of at most 64 KB each,
+half of them toxic if there are as many) and at most ``DRAWN`` windows of each toxic one and ``DRAWN_CLEAN`` of each other one per pass, drawn anew. Scoring reads all windows of all documents.
 
 A worker keeps the gate inputs of the words that it has met in a bounded table, so a step costs a look-up and one small matrix
 product for many windows at once.
 
-Defined results: null and empty texts have no words and score 0; without both labels in the sample every score is the mean
-label (0 without labels); a null doc_id counts as not held out unless the checksum of the empty text says so, and stays null.
+Defined results: null and empty texts have no words and score 0; without both labels in the sample every other score is the
+mean label (0 without labels); equal rows each give a row; a null doc_id counts as not held out unless the checksum of the empty text says so, and stays null.
 """
 
 from __future__ import annotations
