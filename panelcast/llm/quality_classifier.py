@@ -1,13 +1,16 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A text is a bag of word shapes (case, digits and symbols, runs collapsed) and word ends, hashed to two blocks of ``DIMS``
-counts, and of how often words follow themselves and word pairs come again, each in ``LEVELS`` steps. Logarithmic counts weighted by inverse document frequency are projected on the leading singular directions of a
-bounded sample of labelled documents (``sample``, the least by a hash of doc_id, half of them of either label if there are as many). The sample's vectors and labels, a few hundred
-KB, are broadcast. Every document is compared with all of them by exact cosines, a block of documents at a time; its score is
-the mean label of the ``k`` most similar, weighted by a power of the similarity.
+A text is a bag of its words: each whole word, in lower case, is hashed to one of ``TERMS`` counts, and its shape (case, digits
+and symbols, runs collapsed) to one of ``DIMS``; how often words follow themselves and word pairs come again adds two counts,
+each in ``LEVELS`` steps. Logarithmic counts weighted by inverse document frequency are projected on the leading singular
+directions of a bounded sample of labelled documents (``sample``, the least by a hash of doc_id, of at most 64 KB each, half of
+them of either label if there are as many). The sample's vectors and labels, a few hundred KB, are broadcast. Every document is
+compared with all of them by exact cosines, a block of documents at a time; its score is the mean label of the ``k`` most
+similar, weighted by a power of the similarity.
 
 Defined results: a text without words has no direction and gets the sample's mean label; with fewer than two labels in the
-sample every score is that mean (0.5 without labels); null text is empty; a null doc_id counts as held out and stays null.
+sample every score is that mean (0.5 without labels); null text is empty; a null doc_id counts as held out and stays null;
+equal rows each give a row with the same score.
 """
 
 from __future__ import annotations
@@ -22,11 +25,11 @@ from pyspark.sql import functions as F
 from .common import WORD, arrow_schema, batch, own_names, slices
 from .labelled import fold, sampled
 
-SAMPLE, DIMS, RANK, K, POWER, THRESHOLD = 3_000, 384, 48, 15, 8, 0.3
+SAMPLE, TERMS, DIMS, RANK, K, POWER, THRESHOLD = 3_000, 2_048, 384, 64, 15, 8, 0.3
 #: The count that a step of repetition stands for, as a share of the words.
 REPEATS = 0.3
 LEVELS = np.array([0.02, 0.1, 0.3, 0.6])
-WIDTH = 2 * DIMS + 2 * (len(LEVELS) + 1)
+WIDTH = TERMS + DIMS + 2 * (len(LEVELS) + 1)
 _RUNS = re.compile(r"(.)\1+")
 _OUT = "doc_id long,held_out boolean,score double,predicted int"
 
@@ -42,7 +45,7 @@ class _Codes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= 200_000:
             self.clear()
-        self[word] = code = zlib.crc32(shape(word).encode()) % DIMS * DIMS + zlib.crc32(word[-3:].lower().encode()) % DIMS
+        self[word] = code = zlib.crc32(shape(word).encode()) % DIMS * TERMS + zlib.crc32(word.lower().encode()) % TERMS
         return code
 
 
@@ -54,14 +57,14 @@ def counts(text: str) -> np.ndarray:
     codes = np.fromiter(map(_codes.__getitem__, words), np.int64, len(words))
     out = np.zeros(WIDTH, np.float32)
     if n := len(words):
-        out[:DIMS] = np.bincount(codes // DIMS, minlength=DIMS) / n
-        out[DIMS : 2 * DIMS] = np.bincount(codes % DIMS, minlength=DIMS) / n
+        out[:TERMS] = np.bincount(codes % TERMS, minlength=TERMS) / n
+        out[TERMS : TERMS + DIMS] = np.bincount(codes // TERMS, minlength=DIMS) / n
         h = np.fromiter(map(hash, words), np.int64, n)
         pairs = h[1:] * 1_000_003 + h[:-1]
         again = 1 - len(np.unique(pairs)) / len(pairs) if n > 1 else 0
         same = (h[1:] == h[:-1]).mean() if n > 1 else 0
         for k, x in enumerate((same, again)):
-            out[2 * DIMS + k * (len(LEVELS) + 1) + np.searchsorted(LEVELS, x)] = REPEATS
+            out[TERMS + DIMS + k * (len(LEVELS) + 1) + np.searchsorted(LEVELS, x)] = REPEATS
     return out
 
 
@@ -100,17 +103,21 @@ class Space:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Space:
-    ddl = "doc_id long,y int,row binary"
+    ddl = "doc_id long,y int,at binary,value binary"
     schema = arrow_schema(ddl)
 
     def features(batches):
         for b in slices(batches):
-            yield batch(schema, [b.column(0), b.column(2), [counts(t).tobytes() for t in b.column(1).to_pylist()]])
+            rows = [counts(t) for t in b.column(1).to_pylist()]
+            at = [np.flatnonzero(r) for r in rows]
+            yield batch(schema, [b.column(0), b.column(2), [a.astype(np.uint16).tobytes() for a in at], [r[a].tobytes() for r, a in zip(rows, at, strict=True)]])
 
     chosen = sampled(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels, "quality", fold(5) != 0, sample, balance=True, fill=True)
-    found = sorted((r.doc_id, bytes(r.row), r.y) for r in chosen.select("doc_id", "text", "y").mapInArrow(features, ddl).collect())
-    rows = np.array([np.frombuffer(r, np.float32) for _, r, _ in found], np.float32).reshape(-1, WIDTH)
-    return Space(rows, np.array([y for _, _, y in found], int))
+    found = sorted(chosen.select("doc_id", "text", "y").mapInArrow(features, ddl).collect(), key=lambda r: r.doc_id)
+    rows = np.zeros((len(found), WIDTH), np.float32)
+    for row, r in zip(rows, found, strict=True):
+        row[np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.value, np.float32)
+    return Space(rows, np.array([r.y for r in found], int))
 
 
 def _scored(docs, labels, sample, keep):

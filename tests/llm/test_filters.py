@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -319,13 +319,13 @@ def test_many_matches_in_one_text(spark):
 
 
 def test_templates_against_held_out_rules(spark):
-    """Hosts whose rules the tree is not told: what it rejects there is what the rules block."""
-    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
-    hidden = F.crc32(F.col("host").cast("binary")) % 3 == 0
-    rows = url_filter.judge(pages, hidden=hidden).where(hidden & F.col("rule").isNotNull()).select("verdict", "method").collect()
-    right = Counter((r.verdict, r.method) for r in rows)
+    """Hosts whose rules the tree is not told, a fifth at a time: what it rejects there is what the rules block."""
+    pages, right = spark.read.parquet("/root/testdata/sf0.1/pages.parquet"), Counter()
+    for fold in (0, 2, 3):
+        hidden = F.crc32(F.col("host").cast("binary")) % 5 == fold
+        right.update((r.verdict, r.method) for r in url_filter.judge(pages, hidden=hidden).where(hidden & F.col("rule").isNotNull()).select("verdict", "method").collect())
     rejected = right["block", "block"] + right["allow", "block"]
-    assert right["block", "block"] >= 50 and right["block", "block"] / rejected >= 0.95
+    assert right["block", "block"] >= 200 and right["block", "block"] / rejected >= 0.95
     assert url_filter.judge(pages).where("rule is null and verdict = 'block'").count() > 0
 
 
@@ -333,3 +333,56 @@ def test_template_of_other_hosts(spark):
     urls = [f"http://a{i % 7}.net/shop/{i}" for i in range(40)] + [f"http://a{i % 7}.org/fr/{i}" for i in range(40)] + ["http://b.com/shop/x", "http://c.com/shop/77", "http://c.com/fr/78", "http://d.com/" + "s" * 100_000, None] + [f"http://e{i}.net" for i in range(40)]
     got = {r.host + r.path: (r.verdict, r.template) for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
     assert got["c.com/shop/77"] == ("block", "*/shop/{n}") and got["c.com/fr/78"][0] == "allow" and got["d.com/" + "s" * 100_000][0] == "allow" and got[""][0] == "allow"
+
+
+def test_votes_by_hand():
+    """Scores by loops over all labelled vectors, and by singular vectors of the weighted counts."""
+    import math
+
+    words = ["river", "stone", "great", "win", "cash", "now", "the", "Zeta9"]
+    g = np.random.default_rng(8)
+    texts = [" ".join(g.choice(words[: 5 if i % 2 else 8], 12)) for i in range(40)]
+    y = np.array([i % 2 for i in range(40)])
+    rows = np.array([quality_classifier.counts(t) for t in texts])
+    space = quality_classifier.Space(rows, y, rank=6)
+    new = [*(" ".join(g.choice(words, 9)) for _ in range(10)), "", "unknown"]
+    x = [[math.log1p(100 * float(v)) * (math.log(41 / (1 + int((rows[:, k] > 0).sum()))) + 1) for k, v in enumerate(r)] for r in rows]
+    directions = np.linalg.svd(np.array(x), full_matrices=False)[2][:6]
+    got = space.score(np.array([quality_classifier.counts(t) for t in new]), k=5)
+    for t, s in zip(new, got, strict=True):
+        r = [math.log1p(100 * float(v)) * (math.log(41 / (1 + int((rows[:, k] > 0).sum()))) + 1) for k, v in enumerate(quality_classifier.counts(t))]
+        v = directions @ np.array(r)
+        if not t:
+            assert s == y.mean()
+            continue
+        cos = []
+        for row, own in zip(x, y, strict=True):
+            u = directions @ np.array(row)
+            cos.append((float(u @ v) / math.sqrt(float(u @ u) * float(v @ v)), int(own)))
+        best = sorted(cos, reverse=True)[:5]
+        weights = [max(c, 1e-6) ** quality_classifier.POWER for c, _ in best]
+        assert s == pytest.approx(sum(w * own for w, (_, own) in zip(weights, best, strict=True)) / sum(weights), abs=1e-3)
+
+
+def test_whole_terms_count():
+    c = quality_classifier.counts
+    assert (c("great painting of river") != c("threat fainting of hiver")).any()
+    assert (c("x" * 500 + "a") != c("x" * 500 + "b")).any() and (c("River") != c("river")).any()
+
+
+def test_sample_is_bounded(spark):
+    """Repeated rows and long texts take no more than the documented places and bytes."""
+    d = spark.createDataFrame([(i % 10, f"text {i % 20}") for i in range(400)] + [(50, "y" * 70_000), (51, None)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in [*range(10), 50, 51]], "doc_id long, quality int")
+    got = sampled(d, known, "quality", F.lit(True), 8).collect()
+    assert len(got) == 8 == len({r.doc_id for r in got}) and all(r.text == min(f"text {k}" for k in (r.doc_id, r.doc_id + 10)) for r in got)
+
+
+def test_repeated_rows_score_alike(spark):
+    rows = [(1, CLEAN), (1, CLEAN), (None, JUNK), (None, JUNK), (2, "")] + [(10 + i, CLEAN if i % 2 else JUNK) for i in range(40)]
+    labels = spark.createDataFrame([(10 + i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    for module in (toxicity, quality_classifier):
+        got = defaultdict(list)
+        for r in module.score(docs(spark, rows), labels).where("doc_id is null or doc_id < 10").collect():
+            got[r.doc_id].append(r.score)
+        assert len(got[1]) == len(got[None]) == 2 and len(set(got[1])) == len(set(got[None])) == 1 and len(got[2]) == 1
