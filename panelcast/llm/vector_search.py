@@ -1,16 +1,18 @@
 """Approximate nearest neighbours by robust-pruned directed graphs.
 
-The rows are dealt into shards of about ``shard`` vectors by a hash of their id. Each shard's graph is built by batches of
-insertions: a greedy beam search over the graph so far proposes neighbours; pruning keeps the nearest one and drops those that
-are closer to it, by the factor ``alpha``, than to the point, and so on, so that the kept edges are few and diverse; the edges'
-reverses are added and pruned alike. Queries go to every shard in blocks; a beam search finds candidates, whose cosines are then
-computed in double precision on the original vectors; the best of all shards are the answer.
+The rows are dealt into shards by a hash of their id; a shard holds about ``bytes`` bytes of vectors, so larger tables have more
+shards, not larger ones. Each shard's graph is built by batches of insertions: a greedy beam search over the graph so far proposes
+neighbours; pruning keeps the nearest one and drops those that are closer to it, by the factor ``alpha``, than to the point, and
+so on, so that the kept edges are few and diverse; the edges' reverses are added and pruned alike. Queries go to every shard in
+blocks of ``block``, so a graph is sent once per block of many queries and searched by a few hundred of them at a time; a beam
+search finds candidates, whose cosines are then computed in double precision on the original vectors; the best of all shards
+are the answer.
 
 Equal vectors are one node, so a vector that is very common cannot clog the graph; all ids of a node are answers.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, take no
-part; rows of equal id count once; only vectors of equal length are compared; fewer candidates than ``k`` give them all; a
-table without queries gives no rows.
+part; of rows of equal id the shortest vector counts, of equally long ones the least by its components; only vectors of equal
+length are compared; fewer candidates than ``k`` give them all; a table without queries gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, batch, stored
 
-SHARD, BLOCK, DEGREE, BUILD_BEAM, BEAM, ALPHA, K = 4_096, 1_024, 32, 96, 192, 1.2, 5
+BYTES, BLOCK, DEGREE, BUILD_BEAM, BEAM, ALPHA, K = 16 << 20, 16_384, 32, 64, 192, 1.2, 5
+#: Queries that walk a graph at a time, and nodes that each of them expands in a step.
+WALK, EXPAND = 256, 4
 
 
 def beam_search(x: np.ndarray, links: np.ndarray, start: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -34,19 +38,39 @@ def beam_search(x: np.ndarray, links: np.ndarray, start: int, q: np.ndarray, bea
     dist = np.full((n, beam), np.inf, np.float32)
     done = np.ones((n, beam), bool)
     ids[:, 0], dist[:, 0], done[:, 0] = start, 2 - 2 * q @ x[start], False
+    met = np.zeros((n, len(x) + 1), bool)
+    met[:, [start, -1]] = True
     live = np.arange(n)
     while len(live):
-        at = np.argmin(done[live], axis=1)
-        done[live, at] = True
-        near = links[ids[live, at]]
-        d = 2 - 2 * np.einsum("nrd,nd->nr", x[near], q[live])
-        d[(near < 0) | (near[:, :, None] == ids[live][:, None, :]).any(2)] = np.inf
-        all_d = np.concatenate([dist[live], d], 1)
-        best = np.argpartition(all_d, beam - 1, axis=1)[:, :beam]
-        best = np.take_along_axis(best, np.argsort(np.take_along_axis(all_d, best, 1), axis=1, kind="stable"), 1)
-        dist[live] = got = np.take_along_axis(all_d, best, 1)
-        ids[live] = np.take_along_axis(np.concatenate([ids[live], near], 1), best, 1)
-        done[live] = np.take_along_axis(np.concatenate([done[live], np.zeros_like(near, bool)], 1), best, 1) | np.isinf(got)
+        # the nearest nodes that are not yet expanded: those of a beam are in order
+        wait = ~done[live]
+        chosen = wait & (np.cumsum(wait, axis=1) <= EXPAND)
+        row, col = np.nonzero(chosen)
+        done[live[row], col] = True
+        found = links[ids[live[row], col]]
+        owner = np.repeat(live[row], found.shape[1])
+        found = found.ravel()
+        new = ~met[owner, found]
+        owner, found = owner[new], found[new]
+        # a node that two expanded ones link to comes once
+        _, first = np.unique(owner * len(x) + found, return_index=True)
+        owner, found = owner[first], found[first]
+        met[owner, found] = True
+        d = 2 - 2 * np.einsum("nd,nd->n", x[found], q[owner])
+        # only what beats the last of its beam, at most a beam's worth
+        better = d < dist[owner, -1]
+        owner, found, d = owner[better], found[better], d[better]
+        if len(owner):
+            heads, size = np.unique(owner, return_counts=True)
+            at = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+            place = np.repeat(np.arange(len(heads)), size)
+            more, more_d = np.full((len(heads), size.max()), -1), np.full((len(heads), size.max()), np.inf, np.float32)
+            more[place, at], more_d[place, at] = found, d
+            all_d = np.concatenate([dist[heads], more_d], 1)
+            best = np.argsort(all_d, axis=1, kind="stable")[:, :beam]
+            dist[heads] = np.take_along_axis(all_d, best, 1)
+            ids[heads] = np.take_along_axis(np.concatenate([ids[heads], more], 1), best, 1)
+            done[heads] = np.take_along_axis(np.concatenate([done[heads], more < 0], 1), best, 1)
         live = live[~done[live].all(1)]
     ids[np.isinf(dist)] = -1
     return ids, dist
@@ -72,9 +96,12 @@ def prune(x: np.ndarray, p: np.ndarray, cand: np.ndarray, degree: int, alpha: fl
 
 
 def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA) -> tuple[np.ndarray, int]:
-    """Links and the start node of the graph over unit vectors."""
+    """Links and the start node of the graph over unit vectors.
+
+    A node takes the reverses of others' edges as long as it has half as many more than ``degree``; then its edges are pruned."""
     n = len(x)
-    links = np.full((n, degree), -1)
+    room = degree + degree // 2
+    links, many = np.full((n, room), -1, np.int32), np.zeros(n, np.int64)
     start = int((x @ x.mean(0)).argmax())
     order = np.random.default_rng(5).permutation(n)
     order = np.concatenate([[start], order[order != start]])
@@ -84,20 +111,26 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: fl
         found, _ = beam_search(x, links, start, x[new], beam)
         # points of one batch do not see each other in the graph yet
         peers = new[np.argsort(-(x[new] @ x[new].T), axis=1)[:, : degree // 2]]
-        links[new] = prune(x, new, _distinct(np.concatenate([found, peers], 1)), degree, alpha)
-        source, target = np.repeat(new, degree), links[new].ravel()
+        links[new, :degree] = prune(x, new, _distinct(np.concatenate([found, peers], 1)), degree, alpha)
+        many[new] = (links[new] >= 0).sum(1)
+        source, target = np.repeat(new, room), links[new].ravel()
         source, target = source[target >= 0], target[target >= 0]
         while len(target):
-            # up to ``degree`` new edges of each node at a time
             by = np.argsort(target, kind="stable")
             source, target = source[by], target[by]
             nodes, first, size = np.unique(target, return_index=True, return_counts=True)
             rank = np.arange(len(target)) - np.repeat(first, size)
-            now = rank < degree
-            extra = np.full((len(nodes), degree), -1)
-            extra[np.searchsorted(nodes, target[now]), rank[now]] = source[now]
-            links[nodes] = prune(x, nodes, _distinct(np.concatenate([links[nodes], extra], 1)), degree, alpha)
-            source, target = source[~now], target[~now]
+            fits = many[target] + rank < room
+            at = many[target[fits]] + rank[fits]
+            links[target[fits], at] = source[fits]
+            many[nodes] = np.minimum(many[nodes] + size, room)
+            source, target = source[~fits], target[~fits]
+            full = nodes[many[nodes] == room]
+            if len(full):
+                kept = prune(x, full, _distinct(links[full]), degree, alpha)
+                links[full] = -1
+                links[full, :degree] = kept
+                many[full] = (kept >= 0).sum(1)
         done += len(new)
     return links, start
 
@@ -117,8 +150,6 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 def make_shard(ids: np.ndarray, vectors: np.ndarray) -> dict:
     """A shard's graph: original distinct vectors, ids of each, links and start."""
-    ids, first = np.unique(ids, return_index=True)
-    vectors = vectors[first]
     distinct, back = np.unique(vectors, axis=0, return_inverse=True)
     order = np.argsort(back.ravel(), kind="stable")
     links, start = build(_unit(distinct).astype(np.float32))
@@ -128,8 +159,8 @@ def make_shard(ids: np.ndarray, vectors: np.ndarray) -> dict:
 def search_shard(shard: dict, qids: np.ndarray, q: np.ndarray, k: int, beam: int) -> list[tuple]:
     """(query_id, vec_id, score) of the k nearest found in this shard for each query."""
     unit, uq = _unit(shard["vectors"]), _unit(q)
-    found, _ = beam_search(unit.astype(np.float32), shard["links"], shard["start"], uq.astype(np.float32), beam)
-    out = []
+    small, out = unit.astype(np.float32), []
+    found = np.concatenate([beam_search(small, shard["links"], shard["start"], uq[a : a + WALK].astype(np.float32), beam)[0] for a in range(0, len(q), WALK)])
     for i in range(len(q)):
         nodes = found[i][found[i] >= 0]
         own = []
@@ -141,28 +172,42 @@ def search_shard(shard: dict, qids: np.ndarray, q: np.ndarray, k: int, beam: int
     return out
 
 
-def nearest(embeddings: DataFrame, is_query, k: int = K, shard: int = SHARD, block: int = BLOCK, beam: int = BEAM) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` nearest rows found for each row that the column ``is_query`` selects."""
+def one_each(ids: list, vectors: list) -> list[int]:
+    """Which rows count: of each id the one of the shortest, then least, vector."""
+    best: dict = {}
+    for k, (i, v) in enumerate(zip(ids, vectors, strict=True)):
+        if i not in best or (len(v), tuple(v)) < (len(vectors[best[i]]), tuple(vectors[best[i]])):
+            best[i] = k
+    return list(best.values())
+
+
+def nearest(embeddings: DataFrame, is_query, k: int = K, bytes: int = BYTES, block: int = BLOCK, beam: int = BEAM) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` nearest rows found for each row that the column ``is_query``, a condition on vec_id, selects."""
     v = F.transform("embedding", lambda c: c.cast("double"))
     usable = embeddings.select(F.col("vec_id").cast("long"), v.alias("v"), is_query.alias("asks")).where("vec_id is not null and size(v) > 0 and forall(v, c -> c is not null and not isnan(c) and abs(c) < double('infinity')) and exists(v, c -> c != 0)")
-    usable = usable.withColumn("dim", F.size("v"))
-    sizes = usable.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).first()
-    shards, blocks = max(1, math.ceil(sizes.n / shard)), max(1, math.ceil(sizes.q / block))
+    sizes = usable.agg(F.sum(8 * F.size("v")).alias("n"), F.count_if("asks").alias("q")).first()
+    shards, blocks = max(1, math.ceil((sizes.n or 0) / bytes)), max(1, math.ceil(sizes.q / block))
     graph_ddl = "shard int,dim int,graph binary"
 
     def make(pdf):
         import pandas as pd
 
-        made = make_shard(pdf.vec_id.to_numpy(), np.stack(pdf.v.to_numpy()))
-        return pd.DataFrame({"shard": [int(pdf.shard.iloc[0])], "dim": [int(pdf.dim.iloc[0])], "graph": [pickle.dumps(made, 5)]})
-
-    dealt = usable.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    graphs = stored(dealt.select("vec_id", "v", "shard", "dim").groupBy("shard", "dim").applyInPandas(make, graph_ddl), "graphs")
-    asked = usable.where("asks").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int"))
+        rows = []
+        pdf = pdf.iloc[one_each(pdf.vec_id.tolist(), pdf.v.tolist())].sort_values("vec_id")
+        dims = pdf.v.map(len)
+        for dim in sorted(set(dims)):
+            own = pdf[dims == dim]
+            rows.append((int(pdf.shard.iloc[0]), dim, pickle.dumps(make_shard(own.vec_id.to_numpy(), np.stack(own.v.to_numpy())), 5)))
+        return pd.DataFrame(rows, columns=["shard", "dim", "graph"])
+
+    dealt = usable.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"))
+    graphs = stored(dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(make, graph_ddl), "graphs")
+    asked = usable.where("asks").groupBy("vec_id").agg(F.min(F.struct(F.size("v").alias("dim"), "v")).alias("s")).select("vec_id", "s.*")
     # each block holds about ``block`` queries, however many there are
-    asked = asked.groupBy("block", "dim").agg(F.collect_list("vec_id").alias("q_ids"), F.collect_list("v").alias("q"))
+    asked = asked.groupBy(F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int").alias("block"), "dim").agg(F.collect_list("vec_id").alias("q_ids"), F.collect_list("v").alias("q"))
     work = graphs.select("shard", "dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    work = work.join(asked, ["block", "dim"]).join(graphs, ["shard", "dim"])
+    # a task per shard and block: what it reads is bounded by the sizes of both
+    work = work.join(asked, ["block", "dim"]).join(graphs, ["shard", "dim"]).repartition(shards * blocks, "shard", "block")
     out_ddl = "query_id long,vec_id long,score double"
     schema = arrow_schema(out_ddl)
 
@@ -170,8 +215,7 @@ def nearest(embeddings: DataFrame, is_query, k: int = K, shard: int = SHARD, blo
         for b in batches:
             for i in range(b.num_rows):
                 q_ids, q, graph = (b.column(c)[i].as_py() for c in range(3))
-                q_ids, first = np.unique(np.array(q_ids), return_index=True)
-                if rows := search_shard(pickle.loads(graph), q_ids, np.array(q)[first], k, beam):
+                if rows := search_shard(pickle.loads(graph), np.array(q_ids), np.array(q), k, beam):
                     yield batch(schema, list(zip(*rows, strict=True)))
 
     found = work.select("q_ids", "q", "graph").mapInArrow(search, out_ddl)
