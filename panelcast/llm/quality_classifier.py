@@ -78,8 +78,11 @@ class Space:
             return
         self.weight = np.log((1 + len(rows)) / (1 + (rows > 0).sum(0))).astype(np.float32) + 1
         x = self._weighted(rows)
-        values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-        self.directions = vectors[:, ::-1][:, :rank].astype(np.float32)
+        # subspace iteration from a fixed start: nothing as wide as the counts squared is held
+        q = np.random.default_rng(3).normal(0, 1, (x.shape[1], rank + 16)).astype(np.float32)
+        for _ in range(8):
+            q = np.linalg.qr(x.T @ (x @ q))[0]
+        self.directions = (q @ np.linalg.svd(x @ q, full_matrices=False)[2].T)[:, :rank].astype(np.float32)
         self.vectors, _ = self._unit(x @ self.directions)
         self.y = y.astype(np.float32)
 
