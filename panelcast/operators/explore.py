@@ -23,8 +23,8 @@ def usable(x: str):
 
 
 def panel_table(bars: DataFrame, skip: int = 50, least: int = 60, key: str = "stk") -> DataFrame:
-    """Per key: n, correlations of diff and acc and of g and w after the first ``skip`` rows (null for keys of at most ``least`` rows), final growth, deviation of diff."""
+    """Per key: n, the correlation of diff and acc after the first ``skip`` rows (null for keys of at most ``least`` rows), that of g and w over all rows, final growth, deviation of diff."""
     g = growth_view(bars, key=key)
-    later = F.col("i") >= skip
-    pair = lambda a, b: F.when(F.count(F.lit(1)) > least, F.corr(F.when(later, usable(a)), F.when(later, usable(b))))
-    return g.groupBy(key).agg(F.count(F.lit(1)).alias("n"), pair("diff", "acc").alias("corr_diff_acc"), pair("g", "w").alias("corr_g_w"), F.max_by("g", "i").alias("g_end"), F.stddev_pop("diff").alias("vol_diff"))
+    later = lambda x: F.when(F.col("i") >= skip, usable(x))
+    late = F.when(F.count(F.lit(1)) > least, F.corr(later("diff"), later("acc")))
+    return g.groupBy(key).agg(F.count(F.lit(1)).alias("n"), late.alias("corr_diff_acc"), F.corr(usable("g"), usable("w")).alias("corr_g_w"), F.max_by("g", "i").alias("g_end"), F.stddev_pop("diff").alias("vol_diff"))

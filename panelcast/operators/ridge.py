@@ -107,6 +107,29 @@ def predict(feats: DataFrame, plan: Plan, key: str = "stk") -> DataFrame:
     return _scaled(raw, plan).select(key, "i", "p", "raw", "y_pred")
 
 
+def predict_many(feats: DataFrame, plans: dict[str, Plan], key: str = "stk") -> DataFrame:
+    """method, key, i, p, vol20 and y_pred of several models per key: features are made and moved once for all of them."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        x, r, vol = pdf[NAMES].to_numpy(float), pdf.r.to_numpy(float), pdf.vol20.to_numpy(float)
+        out = []
+        for name, plan in plans.items():
+            raw = walk_forward(x, r, plan)
+            if plan.ratio is None:
+                y = raw * plan.shrink
+            else:
+                spread = np.ones(len(raw))
+                spread[plan.warm :] = pd.Series(raw[plan.warm :]).expanding().std(ddof=0).to_numpy() + EPS
+                y = raw * plan.ratio * vol / spread
+            y = np.clip(y, -plan.clip, plan.clip)
+            y[: plan.warm] = 0.0
+            out.append(pd.DataFrame({"method": name, key: pdf[key], "i": pdf.i, "p": pdf.p, "vol20": vol, "y_pred": y}))
+        return pd.concat(out)
+
+    return feats.groupBy(key).applyInPandas(run, f"method string, {key} string, i int, p double, vol20 double, y_pred double")
+
+
 def online5(feats: DataFrame, h: int = 5, lam: float = 0.01, most: float = 0.07, key: str = "stk") -> DataFrame:
     """The first model: five raw features, refitted every row, all but the intercept penalised; a rule before the warm-up."""
     warm = max(30, h + 5)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import EPS, divided, guarded, no_nan
 
-#: Rows of a block of the exponential average.
-BLOCK = 512
+#: Rows of a block of the exponential average, in spans.
+REACH = 32
 
 
 def by_key(key: str = "stk") -> WindowSpec:
@@ -91,17 +91,17 @@ def expanding_std(x: Column, warm: int, key: str = "stk") -> Column:
 def ema(df: DataFrame, x: str, span: int, out: str, key: str = "stk") -> DataFrame:
     """Exponential average with weight a = 2 / (span + 1), seeded with the first value.
 
-    Rows are dealt into blocks of BLOCK. Within a block the recurrence is a running sum of x times (1 - a)^-k, which cannot
-    overflow there; of the rows before, the last value of the block before is carried. What lies further back has weight
-    (1 - a)^BLOCK, below the rounding of doubles for spans up to about 28; longer spans need a longer block."""
+    Rows are dealt into blocks of REACH * (span + 1). Within a block the recurrence is a running sum of x times (1 - a)^-k, at most
+    e^(2.2 REACH) there; of the rows before, the last value of the block before is carried. What lies further back has a weight
+    below e^(-2 REACH), far under the rounding of doubles."""
     a = 2.0 / (span + 1)
     if span <= 1:
         return df.withColumn(out, F.col(x))
-    q = 1.0 - a
-    at = F.col("i") % BLOCK
+    q, size = 1.0 - a, REACH * (span + 1)
+    at = F.col("i") % size
     start = F.when(F.col("i") == 0, 1.0).otherwise(a)
     block = Window.partitionBy(key, "_block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_block", (F.col("i") / BLOCK).cast("int"))
+    df = df.withColumn("_block", (F.col("i") / size).cast("int"))
     df = df.withColumn("_own", F.pow(F.lit(q), at) * F.sum(start * F.col(x) * F.pow(F.lit(q), -at)).over(block))
-    end = F.last(F.when(at == BLOCK - 1, F.col("_own")), ignorenulls=True).over(rows(None, key, -1))
+    end = F.last(F.when(at == size - 1, F.col("_own")), ignorenulls=True).over(rows(None, key, -1))
     return df.withColumn(out, F.col("_own") + F.coalesce(end, F.lit(0.0)) * F.pow(F.lit(q), at + 1)).drop("_block", "_own")

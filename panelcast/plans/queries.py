@@ -13,6 +13,7 @@ from ..operators import address, explore, ridge, score
 from ..operators import features as feats
 from ..operators import windows as W
 from . import registry as R
+from . import ridge_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -276,12 +277,12 @@ a3 AS (SELECT *, g - ma_g AS diff, coalesce(lag(ma_g, 5) OVER ({W0}), first_valu
 view AS (SELECT *, CASE WHEN before <> 0 THEN ma_g / before - 1 END AS acc, CASE WHEN abs(g) >= 1e-9 THEN w / g END AS w_g FROM a3)"""
 
 
-@query(pick(VIEW, "view", *r6(g="g", ma_g="ma_g", diff="diff", w="w", w_g="w_g")))
+@query(pick(VIEW, "view", *r6(g="g", ma_g="ma_g", diff="diff", acc="acc", w="w", w_g="w_g")))
 def growth_view(spark, sf_dir):
-    return six(explore.growth_view(bars_of(spark, sf_dir)).drop("acc"))
+    return six(explore.growth_view(bars_of(spark, sf_dir)).withColumn("acc", explore.usable("acc")))
 
 
-@query(f"{VIEW}\nSELECT stk, count(*) AS n, round(CASE WHEN count(*) > 60 THEN corr(diff, acc) FILTER (i >= 50) END, 6) AS corr_diff_acc, round(CASE WHEN count(*) > 60 THEN corr(g, w) FILTER (i >= 50) END, 6) AS corr_g_w, round(arg_max(g, i), 6) AS g_end, round(stddev_pop(diff), 6) AS vol_diff FROM view GROUP BY stk")
+@query(f"{VIEW}\nSELECT stk, count(*) AS n, round(CASE WHEN count(*) > 60 THEN corr(diff, acc) FILTER (i >= 50) END, 6) AS corr_diff_acc, round(corr(g, w), 6) AS corr_g_w, round(arg_max(g, i), 6) AS g_end, round(stddev_pop(diff), 6) AS vol_diff FROM view GROUP BY stk")
 def explore_panel(spark, sf_dir):
     return six(explore.panel_table(bars_of(spark, sf_dir)))
 
@@ -310,50 +311,93 @@ def forecast(method: str) -> Callable:
     return run
 
 
+BLEND = f"""{ridge_sql.forecasts(FEATS, R.BASE)}"""
+#: The CTEs of each method's forecasts, and its y_pred over ``pred``.
+FORECASTS = {"zero": (f"{BARS}, pred AS (SELECT *, 0.0 AS y_pred FROM bars)", "y_pred"), "ma_reversion": (f"{BARS}, pred AS (SELECT *, {MA} AS y_pred FROM bars)", "y_pred"), "online5": (ridge_sql.online5(BARS), "y_pred")}
+FORECASTS |= {n: (ridge_sql.forecasts(FEATS, plan), "y_pred") for n, plan in R.PLANS.items()}
+FORECASTS |= {"pooled_ridge": (ridge_sql.forecasts(FEATS, R.POOLED, True), "y_pred"), "half_blend": (BLEND, "0.5 * y_pred"), "sign_conservative": (BLEND, "sign(y_pred) * least(abs(y_pred), 0.3 * vol20)")}
+
+
+def made_by(method: str, as_: str = "y_pred") -> str:
+    """A subquery: stk, i, p, raw forecast where there is one, and the method's y_pred."""
+    ctes, y = FORECASTS[method]
+    return f"({ctes}\nSELECT stk, i, p, {y} AS {as_} FROM pred)"
+
+
+def swept_sql(source: str, name: str, values, y: str) -> str:
+    """Summaries by a parameter whose forecasts are ``y`` over the columns of ``source``."""
+    return f"""WITH pt AS (SELECT {name}, stk, i, {y} AS y_pred, {TARGET.format(key=f"{name}, stk")} FROM {source}, (SELECT unnest([{', '.join(f'{v}::DOUBLE' for v in values)}]) AS {name})),
+{SCORED.format(key=f"{name}, stk")}
+SELECT {name}, {SUMMED} FROM scores GROUP BY {name}"""
+
+
+SUMMED = "round(median(abs), 6) AS median_abs, round(avg(abs), 6) AS mean_abs, round(median(rel), 6) AS median_rel, round(avg(rel), 6) AS mean_rel, round(avg(CASE WHEN rel > 0 THEN 100.0 ELSE 0 END), 6) AS pct_rel_pos"
+
 for _q, _m in {
     "pred_zero": "zero", "pred_ridge_v2": "baseline_v2", "pred_ridge_submitted": "submitted", "pred_ridge_tight": "tight", "pred_ridge_roll80": "roll80", "pred_ridge_roll120": "roll120",
     "pred_ridge_roll252": "roll252", "pred_ridge_roll504": "roll504", "pred_ridge_clipy": "clipy", "pred_volscale": "vol_0.20", "pred_all": "all_0.20", "pred_online5": "online5",
-    "pred_pooled_ridge": "pooled_ridge", "pred_half_blend": "half_blend", "sign_conservative": "sign_conservative",
+    "pred_pooled_ridge": "pooled_ridge", "half_blend": "half_blend", "sign_conservative": "sign_conservative",
 }.items():
-    query(f"{BARS}\nSELECT stk, i, 0.0::DOUBLE AS y_pred FROM bars" if _m == "zero" else None, _q)(forecast(_m))
+    query(f"SELECT stk, i, round(y_pred, 6) AS y_pred FROM {made_by(_m)}", _q)(forecast(_m))
 
+RIDGE_PANEL = ("zero", "ma_reversion", "online5", "baseline_v2", "submitted", "tight", "roll80", "roll120", "roll252", "roll504", "vol_0.10", "vol_0.20", "clipy", "all_0.10", "all_0.20", "pooled_ridge", "half_blend", "sign_conservative")
 
-@query()
+
+@query(f"""WITH pt AS (SELECT method, stk, i, y_pred, {TARGET.format(key="method, stk")} FROM ({" UNION ALL ".join(f"SELECT '{m}' AS method, * FROM {made_by(m)}" for m in RIDGE_PANEL)})),
+{SCORED.format(key="method, stk")}
+SELECT method, {SUMMED} FROM scores GROUP BY method""")
 def score_ridge_panel(spark, sf_dir):
-    names = ["zero", "ma_reversion", "online5", "baseline_v2", "submitted", "tight", "roll80", "roll120", "roll252", "roll504", "vol_0.10", "vol_0.20", "clipy", "all_0.10", "all_0.20", "pooled_ridge", "half_blend", "sign_conservative"]
-    return six(score.summary(R.compare(bars_of(spark, sf_dir), names)))
+    return six(score.summary(R.compare(bars_of(spark, sf_dir), list(RIDGE_PANEL))))
 
 
-@query()
+#: The parameters of the sweeps.
+SHRINKS, POOLED_SHRINKS, PARAM_SHRINKS = (0.00, 0.02, 0.04, 0.06, 0.08, 0.10, 0.12, 0.15, 0.20, 0.30, 0.50, 1.00), (0.05, 0.08, 0.10, 0.15, 0.20, 0.30), (0.20, 0.35, 0.50, 0.70)
+ALPHAS, SCALES = (0.0, 0.25, 0.5, 0.75, 1.0), (0.3, 0.5, 0.7, 1.0)
+
+
+@query(swept_sql(made_by("baseline_v2", "y"), "shrink", SHRINKS, "least(greatest(y * shrink / 0.1, -0.03), 0.03)"))
 def shrink_sweep_ridge(spark, sf_dir):
-    pred = R.METHODS["baseline_v2"](bars_of(spark, sf_dir)).withColumn("y_pred", C("raw"))
-    return six(score.summary(R.shrink_sweep(pred, 1.0, [0.01, 0.02, 0.03, 0.05, 0.07, 0.1, 0.12, 0.15, 0.2, 0.3, 0.5, 1.0]), ["shrink"]))
+    """The base forecasts, shrunk and clipped, rescaled and clipped again."""
+    return six(score.summary(R.shrink_sweep(R.METHODS["baseline_v2"](bars_of(spark, sf_dir)), 0.10, list(SHRINKS)), ["shrink"]))
 
 
-@query()
+@query(swept_sql(made_by("baseline_v2", "y"), "shrink", PARAM_SHRINKS, "least(greatest(y * shrink / 0.35, -0.03), 0.03)"))
+def shrink_sweep_param(spark, sf_dir):
+    """The rescaled predictor, which takes the base forecasts as those of shrinkage 0.35."""
+    return six(score.summary(R.shrink_sweep(R.METHODS["baseline_v2"](bars_of(spark, sf_dir)), 0.35, list(PARAM_SHRINKS)), ["shrink"]))
+
+
+@query(swept_sql(f"({FORECASTS['pooled_ridge'][0]}\nSELECT stk, i, p, CASE WHEN i < 60 THEN 0 ELSE raw END AS y FROM pred)", "shrink", POOLED_SHRINKS, "least(greatest(y * shrink / 1.0, -0.03), 0.03)"))
 def shrink_sweep_pooled(spark, sf_dir):
     pred = R.METHODS["pooled_ridge"](bars_of(spark, sf_dir)).withColumn("y_pred", C("raw"))
-    return six(score.summary(R.shrink_sweep(pred, 1.0, [0.02, 0.05, 0.1, 0.2, 0.3, 0.5]), ["shrink"]))
+    return six(score.summary(R.shrink_sweep(pred, 1.0, list(POOLED_SHRINKS)), ["shrink"]))
 
 
-@query()
+TAILS = """t0 AS (SELECT *, row_number() OVER (PARTITION BY stk ORDER BY i DESC) AS back FROM bars0),
+bars AS (SELECT CAST(len AS INT) || '|' || stk AS stk, CAST(row_number() OVER (PARTITION BY len, stk ORDER BY i) - 1 AS INT) AS i, p, v FROM t0, (SELECT unnest([250, 500, 1000, 2000, 0]) AS len) WHERE len = 0 OR back <= len)"""
+
+
+@query(f"""WITH pt AS (SELECT CAST(split_part(stk, '|', 1) AS INT) AS length, split_part(stk, '|', 2) AS name, stk, i, y_pred, {TARGET.format(key="stk")} FROM ({ridge_sql.forecasts(FEATS.replace("bars AS (", "bars0 AS (", 1).replace("nsh FROM b0)", "nsh FROM b0), " + TAILS, 1), R.BASE)}
+SELECT stk, i, p, y_pred FROM pred)),
+{SCORED.format(key="length, stk")}
+SELECT length, {SUMMED} FROM scores GROUP BY length""")
 def tail_sweep_ridge(spark, sf_dir):
     return six(score.summary(R.tail_sweep(bars_of(spark, sf_dir), [250, 500, 1000, 2000, None], R.METHODS["baseline_v2"]), ["length"]))
 
 
-@query()
+@query(swept_sql(f"(SELECT * FROM {made_by('baseline_v2', 'a')} JOIN (SELECT stk, i, b FROM {made_by('pooled_ridge', 'b')}) USING (stk, i))", "alpha", ALPHAS, "alpha * a + (1 - alpha) * b"))
 def ensemble_alpha(spark, sf_dir):
     b = bars_of(spark, sf_dir)
     a, c = R.METHODS["baseline_v2"](b), R.METHODS["pooled_ridge"](b)
-    mixed = a.join(c.select("stk", "i", C("y_pred").alias("_c")), ["stk", "i"]).select("stk", "i", "p", "y_pred", "_c", F.explode(F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("alpha"))
+    mixed = a.join(c.select("stk", "i", C("y_pred").alias("_c")), ["stk", "i"]).select("stk", "i", "p", "y_pred", "_c", F.explode(F.array(*map(F.lit, ALPHAS))).alias("alpha"))
     mixed = mixed.withColumn("y_pred", C("alpha") * C("y_pred") + (1 - C("alpha")) * C("_c"))
     return six(score.summary(score.evaluate(R.with_target(mixed, ["alpha", "stk"]), ["alpha", "stk"]), ["alpha"]))
 
 
-@query()
+@query(swept_sql(f"({ridge_sql.forecasts(FEATS, R.POOLED.with_(shrink=0.05), True)}\nSELECT stk, i, p, y_pred AS y FROM pred)", "scale", SCALES, "y * scale"))
 def scale_blend(spark, sf_dir):
-    pred = ridge.predict_pooled(feats.features(bars_of(spark, sf_dir)), R.BASE.with_(refit=20, shrink=0.05))
-    each = pred.select("stk", "i", "p", "y_pred", F.explode(F.array(*map(F.lit, (0.3, 0.5, 0.7, 1.0)))).alias("scale")).withColumn("y_pred", C("y_pred") * C("scale"))
+    pred = ridge.predict_pooled(feats.features(bars_of(spark, sf_dir)), R.POOLED.with_(shrink=0.05))
+    each = pred.select("stk", "i", "p", "y_pred", F.explode(F.array(*map(F.lit, SCALES))).alias("scale")).withColumn("y_pred", C("y_pred") * C("scale"))
     return six(score.summary(score.evaluate(R.with_target(each, ["scale", "stk"]), ["scale", "stk"]), ["scale"]))
 
 

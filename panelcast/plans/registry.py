@@ -57,23 +57,27 @@ def online5(bars: DataFrame) -> DataFrame:
     return ridge.online5(features5(bars))
 
 
-def ridge_method(name: str, plan: ridge.Plan) -> None:
-    METHODS[name] = lambda bars: ridge.predict(features(bars), plan)
-
-
 #: The parameter sets of the ridge family.
-for _name, _plan in {
+PLANS = {
     "baseline_v2": BASE, "submitted": BASE.with_(clip=0.02), "tight": BASE.with_(shrink=0.05, clip=0.015),
     "roll80": BASE.with_(win=80), "roll120": BASE.with_(win=120), "roll252": BASE.with_(win=252), "roll504": BASE.with_(win=504),
     "vol_0.10": BASE.with_(ratio=0.10), "vol_0.20": BASE.with_(ratio=0.20), "clipy": BASE.with_(y_clip=0.05),
     "all_0.10": BASE.with_(win=120, y_clip=0.05, ratio=0.10), "all_0.20": BASE.with_(win=120, y_clip=0.05, ratio=0.20),
-}.items():
+}
+POOLED = BASE.with_(refit=20)
+
+
+def ridge_method(name: str, plan: ridge.Plan) -> None:
+    METHODS[name] = lambda bars: ridge.predict(features(bars), plan)
+
+
+for _name, _plan in PLANS.items():
     ridge_method(_name, _plan)
 
 
 @method("pooled_ridge")
 def pooled_ridge(bars: DataFrame) -> DataFrame:
-    return ridge.predict_pooled(features(bars))
+    return ridge.predict_pooled(features(bars), POOLED)
 
 
 @method("half_blend")
@@ -84,8 +88,8 @@ def half_blend(bars: DataFrame) -> DataFrame:
 @method("sign_conservative")
 def sign_conservative(bars: DataFrame, share: float = 0.3) -> DataFrame:
     """The base forecast, at most a share of volatility in size."""
-    f = features(bars)
-    return ridge.predict(f, BASE).join(f.select("stk", "i", "vol20"), ["stk", "i"]).select("stk", "i", "p", cap(F.col("y_pred"), share * F.col("vol20")).alias("y_pred"))
+    made = ridge.predict_many(features(bars), {"base": BASE})
+    return made.select("stk", "i", "p", cap(F.col("y_pred"), share * F.col("vol20")).alias("y_pred"))
 
 
 @method("gbt_pooled")
@@ -117,11 +121,24 @@ def with_target(pred: DataFrame, key: list[str] | None = None) -> DataFrame:
     return pred.withColumn("target", F.coalesce(divided(F.col("p"), F.lag("p").over(w)) - 1, F.lit(0.0)))
 
 
+def ridge_family(bars: DataFrame, names: list[str]) -> DataFrame:
+    """method, stk, i, p, y_pred of those methods that a ridge model per key gives, all from one pass over the features."""
+    derived = [n for n in ("half_blend", "sign_conservative") if n in names]
+    base = ["baseline_v2"] if derived else []
+    many = ridge.predict_many(features(bars), {n: PLANS[n] for n in PLANS if n in [*names, *base]})
+    y = F.col("y_pred")
+    made = {"half_blend": 0.5 * y, "sign_conservative": cap(y, 0.3 * F.col("vol20"))}
+    one = lambda n, v: F.struct(n.alias("method"), v.alias("y_pred"))
+    each = F.when(F.col("method") == "baseline_v2", F.array(one(F.col("method"), y), *(one(F.lit(n), made[n]) for n in derived))).otherwise(F.array(one(F.col("method"), y)))
+    return many.select("stk", "i", "p", F.explode(each).alias("m")).select("m.method", "stk", "i", "p", "m.y_pred").where(F.col("method").isin(*names))
+
+
 def compare(bars: DataFrame, names: list[str]) -> DataFrame:
     """Scores per (method, stk) of several methods over the same bars."""
-    out = None
-    for n in names:
-        own = METHODS[n](bars).select("stk", "i", "p", "y_pred").withColumn("method", F.lit(n))
+    family = [n for n in names if n in PLANS or n in ("half_blend", "sign_conservative")]
+    out = ridge_family(bars, family) if family else None
+    for n in (n for n in names if n not in family):
+        own = METHODS[n](bars).select(F.lit(n).alias("method"), "stk", "i", "p", "y_pred")
         out = own if out is None else out.unionByName(own)
     key = ["method", "stk"]
     return evaluate(with_target(out, key), key)

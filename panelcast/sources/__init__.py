@@ -105,7 +105,7 @@ def prices(bars: DataFrame, price: str = "adj", volume: str = "vol") -> DataFram
 
 
 def date_range(bars: DataFrame, low: int, high: int) -> DataFrame:
-    """Rows of low <= date < high; the bounds reach the scan."""
+    """Rows of low <= date < high; the bounds reach the scan where date is one of its columns."""
     return bars.where((F.col("date") >= low) & (F.col("date") < high))
 
 

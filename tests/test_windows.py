@@ -28,7 +28,7 @@ def walk(n, seed=0):
     return 100 * np.exp(np.cumsum(g.normal(0, 0.02, n))), g.integers(1, 1000, n).astype(float)
 
 
-@pytest.mark.parametrize("span,n", [(2, 40), (9, 1300), (12, 1100), (26, 1100), (1, 5)])
+@pytest.mark.parametrize("span,n", [(2, 400), (9, 1300), (12, 1100), (26, 3000), (200, 14_000), (1, 5)])
 def test_ema_is_the_recurrence(spark, span, n):
     p, v = walk(n)
     got = collected(W.ema(bars(spark, {"a": (p, v), "b": (p[:3], v[:3])}), "p", span, "e"), "e")
