@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelcast.llm import components, jaccard_join, vector_search
+from panelcast.llm import common, components, jaccard_join, vector_search
 
 BAD = [(9001, None), (9002, []), (9003, [0.0] * 8), (9004, [float("nan")] + [1.0] * 7), (9005, [None] + [1.0] * 7), (9006, [float("inf")] + [1.0] * 7), (None, [1.0] * 8), (9100, [1.0, 2.0])]
 
@@ -30,10 +30,10 @@ def test_search(spark):
     x = g.normal(0, 1, (1200, 8))
     x[300:700] = x[300]  # a very common vector
     x[700] = 2 * x[300]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + BAD + [(5, x[5].tolist())]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + BAD + [(5, x[5].tolist()), (50, [9e9] * 8), (50, [1e9] * 9)]
     df = spark.createDataFrame([(i, v, "s") for i, v in rows], "vec_id long, embedding array<double>, score string").repartition(3)
     got = defaultdict(list)
-    for r in vector_search.nearest(df, F.col("vec_id") % 50 == 0, shard=400, block=10).collect():
+    for r in vector_search.nearest(df, F.col("vec_id") % 50 == 0, bytes=400 * 64, block=10).collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     want = brute(rows, [i for i in range(0, 1200, 50)])
     assert set(got) == set(want)
@@ -138,8 +138,9 @@ def test_join(spark, monkeypatch, seed, long, block):
     """Also with long lists from the first entries on, and blocks of few sets."""
     monkeypatch.setattr(jaccard_join, "LONG", long)
     monkeypatch.setattr(jaccard_join.candidates, "__defaults__", (long,))
-    for name, value in (("ENTRIES", 200), ("BLOCK", block), ("SET", 50), ("HOT", 2), ("FREQUENT", 2)):
+    for name, value in (("ENTRIES", 200), ("BLOCK", block), ("SET", 50), ("FREQUENT", 2)):
         monkeypatch.setattr(jaccard_join, name, value)
+    monkeypatch.setattr(common, "HOT", 2)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, component_id int").repartition(3)
     assert rows_of(jaccard_join.join(df).collect()) == join_by_pairs(rows)
