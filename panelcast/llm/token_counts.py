@@ -1,16 +1,17 @@
 """Token counts by a two-tier look-up on the map side; no pre-token is ever shuffled.
 
-Tier one is a broadcast table of the pre-tokens that are frequent enough to have become single entries of the vocabulary: a
-vocabulary's merges are the frequent strings of running text, so each entry that is one pre-token has length one. The table
-is as large as the vocabulary at most, whatever the corpus. It travels compactly (one blob and the ends) and each worker
-unpacks it into a hash table. Tier two is each worker's bounded cache: a pre-token that is not in tier one is encoded once by
-the library's merges and its length kept. The table decides speed only; counts are exact.
+Tier one is a broadcast table of the lengths of the corpus's most frequent pre-tokens. They are counted in an even sample of
+``sample`` documents, drawn over all of the table, in one task; ``tier1`` pre-tokens of at most ``LONGEST`` bytes are kept, so the
+table has a fixed bound. It travels compactly (one blob, the ends and the lengths) and each worker unpacks it into a hash table.
+Tier two is each worker's bounded cache: a pre-token that is not in tier one is encoded once by the library's merges and its
+length kept. The sample decides speed only; counts are exact and cover all rows.
 
 Defined results: null text is empty; an empty text has 0 tokens; a null doc_id stays null; further columns are dropped.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -18,31 +19,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, batch, slices
-from .pretokens import CACHE, coder, is_byte_level, ranks_of, splitter
+from .pretokens import CACHE, coder, is_byte_level, splitter
 
+#: Documents sampled for tier one, bytes of a text that the sample may hold, entries of tier one, and bytes of an entry.
+SAMPLE, MOST, TIER1, LONGEST = 4_000, 1 << 16, 50_000, 64
 _OUT = "doc_id long,n_bytes long,n_tokens long,over_limit boolean"
 
 
-def frequent_table(path: str) -> tuple[bytes, bytes]:
-    """The vocabulary entries that are whole pre-tokens, as (UTF-8 blob, ends as unsigned 32-bit numbers)."""
-    words = []
-    for raw in ranks_of(path):
-        try:
-            word = raw.decode()
-        except UnicodeDecodeError:
-            continue
-        pattern = splitter(word)
-        if pattern is not None and pattern.findall(word) == [word]:
-            words.append(raw)
-    return b"".join(words), np.cumsum([len(w) for w in words]).astype(np.uint32).tobytes()
+Table = tuple[bytes, bytes, bytes]
+
+
+def packed(lengths: dict[bytes, int]) -> Table:
+    """Pre-tokens and their lengths as (UTF-8 blob, ends as unsigned 32-bit numbers, lengths as bytes)."""
+    return b"".join(lengths), np.cumsum([len(w) for w in lengths]).astype(np.uint32).tobytes(), bytes(lengths.values())
+
+
+def frequent_table(docs: DataFrame, path: str, sample: int = SAMPLE, tier1: int = TIER1) -> Table:
+    """The lengths of the most frequent pre-tokens of an even sample of about ``sample`` documents."""
+    rows = docs.count()
+    if not rows:
+        return packed({})
+    some = docs.select("text").sample(min(1.0, sample / rows), 1).where(F.octet_length("text") <= MOST)
+
+    def count(batches):
+        seen: Counter = Counter()
+        for b in slices(batches):
+            for t in b.column(0).to_pylist():
+                if pattern := splitter(t):
+                    seen.update(pattern.findall(t))
+        one = coder(path).library._core_bpe.encode_single_piece
+        kept = [w for w in (w.encode() for w, _ in seen.most_common(tier1)) if len(w) <= LONGEST]
+        yield batch(arrow_schema("blob binary,ends binary,lengths binary"), [[x] for x in packed({w: len(one(w)) for w in kept})])
+
+    # texts of the bounded sample meet in one task; pre-tokens are never shuffled
+    found = some.repartition(1).mapInArrow(count, "blob binary, ends binary, lengths binary").first()
+    return tuple(map(bytes, found)) if found else packed({})
 
 
 class Lengths(dict):
     """Pre-token to number of tokens: tier one, then what this worker met."""
 
-    def __init__(self, table: tuple[bytes, bytes], encode, cache: int = CACHE):
+    def __init__(self, table: Table, encode, cache: int = CACHE):
         blob, ends = table[0], np.frombuffer(table[1], np.uint32).tolist()
-        self._tier1 = dict.fromkeys((blob[a:b].decode() for a, b in zip([0, *ends], ends, strict=False)), 1)
+        self._tier1 = {blob[a:b].decode(): n for a, b, n in zip([0, *ends], ends, table[2], strict=False)}
         self._encode, self._most = encode, cache + len(self._tier1)
         super().__init__(self._tier1)
 
@@ -55,7 +74,7 @@ class Lengths(dict):
 
 
 @lru_cache(maxsize=2)
-def _lengths(path: str, table: tuple[bytes, bytes]) -> Lengths:
+def _lengths(path: str, table: Table) -> Lengths:
     return Lengths(table, coder(path).library._core_bpe.encode_single_piece)
 
 
@@ -77,7 +96,7 @@ def _library(path: str):
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of each whole text."""
     sc = docs.sparkSession.sparkContext
-    table = sc.broadcast(frequent_table(path)) if path.endswith(".json") and is_byte_level(path) else None
+    table = sc.broadcast(frequent_table(docs, path)) if path.endswith(".json") and is_byte_level(path) else None
     out = arrow_schema(_OUT)
 
     def count(batches):

@@ -69,14 +69,23 @@ def test_counts(docs, name):
 
 
 def test_cache_limits_do_not_change_counts():
-    table = token_counts.frequent_table(JSON)
     from panelcast.llm.pretokens import coder
 
-    lengths = token_counts.Lengths(table, coder(JSON).library._core_bpe.encode_single_piece, cache=2)
-    words = [" alpha", " zzqx", " qqww", " zzqx", " the", " wwqq"] * 3
+    one = coder(JSON).library._core_bpe.encode_single_piece
+    lengths = token_counts.Lengths(token_counts.packed({w: len(one(w)) for w in (b" the", " é".encode(), b" zzqx")}), one, cache=2)
+    words = [" alpha", " zzqx", " qqww", " é", " the", " wwqq"] * 3
     assert [lengths[w] for w in words] == [len(coder(JSON).library.encode_ordinary(w)) for w in words]
 
 
+def test_tier_one_holds_the_most_frequent(spark):
+    d = spark.createDataFrame([(i, "often often often seldom " + " rare" * (i == 3)) for i in range(40)] + [(None, None), (1, "")], "doc_id long, text string")
+    blob, ends, lengths = token_counts.frequent_table(d, JSON, tier1=2)
+    # twice in each text with a blank before it; the first word has none
+    assert blob.startswith(b" often") and len(ends) == 8 and len(lengths) == 2
+    assert token_counts.frequent_table(d.where("false"), JSON) == (b"", b"", b"")
+    assert token_counts.frequent_table(d.where("text is null"), JSON) == (b"", b"", b"")
+
+
 def test_pack(docs, spark):
     lib = Tokenizer.from_file(JSON)
     got = packing.pack(docs.where("doc_id is not null and doc_id != 6"), JSON).collect()
