@@ -449,6 +449,21 @@ def address_stub(spark, sf_dir):
     return address.total(judged(spark, sf_dir, address.stub))
 
 
+class _Strict(address.FirstNames):
+    """First names, and no answer for texts in which the word AMERICA occurs."""
+
+    def process(self, text):
+        if "AMERICA" in text:
+            raise ValueError(text)
+        return super().process(text)
+
+
+@query(f"{CASES}, f AS (SELECT (SELECT min(r_name) FROM region) AS province, (SELECT min(n_name) FROM nation) AS ward, (SELECT min(c_mktsegment) FROM customer) AS street)\nSELECT c.id, c.text, " + ", ".join(f"c.{f}, CASE WHEN c.text LIKE '%AMERICA%' THEN 'EXCEPTION' ELSE f.{f} END AS {f}_student, c.{f} AS {f}_normalized, CASE WHEN c.text LIKE '%AMERICA%' THEN 'EXCEPTION' ELSE f.{f} END AS {f}_student_normalized, (c.{f} = f.{f} AND c.text NOT LIKE '%AMERICA%')::INT AS {f}_correct" for f in address.FIELDS) + ", " + " + ".join(f"(c.{f} = f.{f} AND c.text NOT LIKE '%AMERICA%')::INT" for f in address.FIELDS) + " AS total_correct FROM cases c, f")
+def address_solution(spark, sf_dir):
+    # how long a case took differs from run to run
+    return judged(spark, sf_dir, lambda cases, names: address.solved(cases, names, _Strict)).drop("time_sec")
+
+
 @query("SELECT n_name AS a, r_name AS b, levenshtein(n_name, r_name) AS distance FROM nation, region")
 def edit_distance(spark, sf_dir):
     t = lambda n, c: spark.read.parquet(f"{sf_dir}/{n}.parquet").select(C(c).alias("name"))

@@ -77,6 +77,17 @@ def read_csv(spark: SparkSession, paths: Sequence[str], schema: str, least: int
     return None
 
 
+def read_csv_cached(spark: SparkSession, cache: str, paths: Sequence[str], schema: str, least: int = 100) -> DataFrame | None:
+    """The table that ``cache`` holds if it has more than ``least`` rows, else the first source that has, which is then written
+    there; None if none has. A source that is too short never gets into the cache."""
+    if (held := read_csv(spark, [cache], schema, least)) is not None:
+        return held
+    if (df := read_csv(spark, paths, schema, least)) is None:
+        return None
+    df.write.mode("overwrite").csv(cache, header=True)
+    return spark.read.schema(schema).csv(cache, header=True)
+
+
 def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A wide table of results."""
     return spark.read.schema(schema).csv(path, header=True)

@@ -171,3 +171,65 @@ def test_addresses(spark):
     assert address.total(details.where("id > 5")).first().score == 0
     stub = address.judge(cases, address.stub(cases, names))
     assert stub.where("id = 0").first().province_student == "Huế"  # the first by code point
+
+
+class Moody:
+    def __init__(self, province, ward, street):
+        self.lists = province, ward, street
+
+    def process(self, text):
+        if text == "bad":
+            raise KeyError(text)
+        return {"province": self.lists[0][0], "ward": "w", "street": "s"} if text != "short" else {"province": "p"}
+
+
+def test_solutions_are_timed_and_never_stop_the_batch(spark):
+    cases = spark.createDataFrame([(0, "good", "a", "w", "x"), (1, "bad", "a", "w", "s"), (2, "short", "p", "w", "s"), (3, None, "a", "w", "s")], "id long, text string, province string, ward string, street string")
+    names = spark.createDataFrame([("province", "b"), ("province", "a"), ("ward", None)], "kind string, name string")
+    details = address.judge(cases, address.solved(cases, names, Moody))
+    assert len(details.columns) == 19 and details.columns[-2:] == ["total_correct", "time_sec"]
+    got = {r.id: r for r in details.collect()}
+    assert [got[i].total_correct for i in range(4)] == [2, 0, 0, 3]
+    assert got[1].street_student == got[2].province_student == "EXCEPTION" and got[1].time_sec == got[2].time_sec == 0 and got[0].time_sec > 0
+    total = address.total(details).first()
+    assert total[:3] == (5, 12, 4.17) and total.max_time_sec >= total.avg_time_sec >= 0
+    none = address.total(details.where("id > 5")).first()
+    assert tuple(none) == (0, 0, 0.0, 0.0, 0.0)
+    with pytest.raises(ValueError):
+        most, address.MOST = address.MOST, 1
+        try:
+            address.solved(cases, names, Moody)
+        finally:
+            address.MOST = most
+
+
+def test_workbook(spark, tmp_path, monkeypatch):
+    import xml.etree.ElementTree as E
+    import zipfile
+
+    from panelcast.sources import workbook
+
+    df = spark.createDataFrame([("a<&\x01 é", 1, 0.5, True), (None, None, float("nan"), None)], "s string, n long, x double, b boolean").coalesce(1)
+    path = str(tmp_path / "out.xlsx")
+    workbook.write_workbook({"summary": df.limit(0), 'the "details"': df}, path)
+    with zipfile.ZipFile(path) as z:
+        sheets = [[[("".join(c.itertext()), c.get("t")) for c in r] for r in E.fromstring(z.read(f"xl/worksheets/sheet{n}.xml"))[0]] for n in (1, 2)]
+        assert [s.get("name") for s in E.fromstring(z.read("xl/workbook.xml"))[0]] == ["summary", 'the "details"']
+        assert all(E.fromstring(z.read(n)) is not None for n in z.namelist())
+    head = [(c, "inlineStr") for c in "snxb"]
+    assert sheets == [[head], [head, [("a<&_x0001_ é", "inlineStr"), ("1", None), ("0.5", None), ("1", "b")], [("", None)] * 4]]
+    monkeypatch.setattr(workbook, "ROWS", 2)
+    with pytest.raises(ValueError):
+        workbook.write_workbook({"details": df}, str(tmp_path / "long.xlsx"))
+    assert [f.name for f in tmp_path.iterdir()] == ["out.xlsx"]
+
+
+def test_cached_csv(spark, tmp_path):
+    from panelcast.sources import read_csv_cached
+
+    cache, short, full = (str(tmp_path / n) for n in ("cache", "short", "full"))
+    spark.range(3).write.csv(short, header=True)
+    spark.range(9).write.csv(full, header=True)
+    assert read_csv_cached(spark, cache, [short], "id long", 5) is None and not (tmp_path / "cache").exists()
+    assert read_csv_cached(spark, cache, [str(tmp_path / "none"), short, full], "id long", 5).count() == 9
+    assert read_csv_cached(spark, cache, [], "id long", 5).count() == 9
