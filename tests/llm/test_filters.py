@@ -48,6 +48,17 @@ def test_urls(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_templates_reject_on_hosts_without_labels(spark):
+    """The rules of a fifth of the hosts hidden in turn: what the method rejects of their urls, the rules block too."""
+    pages, right, wrong = spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), 0, 0
+    for k in range(5):
+        hidden = F.crc32(F.col("host").cast("binary")) % 5 == k
+        rejected = url_filter.judge(pages, hidden=hidden).where(hidden & F.col("rule").isNotNull() & (F.col("method") == "block"))
+        got = rejected.agg(F.count_if(F.col("verdict") == "block").alias("a"), F.count_if(F.col("verdict") == "allow").alias("b")).first()
+        right, wrong = right + got.a, wrong + got.b
+    assert right > 0 and right >= 0.95 * (right + wrong)
+
+
 # --- quality rules ----------------------------------------------------------------------------------------------------
 
 CLEAN = "\n".join(" ".join(f"{a}{b}" for a, b in zip("ga ri mo le su ta pi".split(), (chr(97 + (i * k) % 23) * (1 + k % 3) for k in range(1, 8)))) + " gardens." for i in range(12))
