@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import jaccard_join, quality_classifier, quality_rules, secrets, toxicity, url_filter, vector_search
+from . import jaccard_join, name_join, prefix_trie, quality_classifier, quality_rules, secrets, sharding, toxicity, url_filter, vector_search
 from .bpe import encode
 from .common import read
 from .packing import pack
@@ -54,5 +54,18 @@ def op10_secrets(spark, sf_dir):
     return secrets.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op3_packing, op4_toxicity, op5_token_counts, op6_quality_classifier, op7_nearest, op8_quality_rules, op9_jaccard_join, op10_secrets)}
+def op11_name_join(spark, sf_dir):
+    return name_join.count_matches(read(spark, sf_dir, "clients"), read(spark, sf_dir, "vendors"))
+
+
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.digest(read(spark, sf_dir, "conversations"))
+
+
+def op13_sharding(spark, sf_dir):
+    return sharding.shard(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op3_packing, op4_toxicity, op5_token_counts, op6_quality_classifier, op7_nearest, op8_quality_rules, op9_jaccard_join, op10_secrets, op11_name_join, op12_prefix_trie, op13_sharding)}
 ORACLES: dict[str, str] = {"op2_url_filter": url_filter.oracle_sql(), "op9_jaccard_join": jaccard_join.oracle_sql(), "op10_secrets": secrets.oracle_sql()}
+ORACLES |= {"op11_name_join": name_join.oracle_sql(), "op12_prefix_trie": prefix_trie.oracle_sql(), "op13_sharding": sharding.oracle_sql()}
