@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions import no_nan, ratio, signed_root
 from . import windows as W
+from .blocks import ROWS, in_blocks
 
 
-def growth_view(bars: DataFrame, h: int = 20, key: str = "stk") -> DataFrame:
+def growth_view(bars: DataFrame, h: int = 20, key: str = "stk", block: int = ROWS) -> DataFrame:
     """g (growth), ma_g (its mean), diff = g - ma_g, acc (acceleration of ma_g), w (signed root of volume growth, smoothed; 0 where that is nothing but rounding), w_g = w / g."""
+    grown = W.with_growth(bars.select(key, "i", "p", "v"), key, g="p", gv="v")
+    return in_blocks(grown, lambda df, keys: _smoothed(df, h, keys), [key], "i", h + 6, block=block)
+
+
+def _smoothed(df: DataFrame, h: int, key: list[str]) -> DataFrame:
     c = F.col
-    df = bars.select(key, "i", "p", "v").withColumns({"g": W.growth(c("p"), key), "gv": W.growth(c("v"), key)})
     df = df.withColumns({"ma_g": W.mean_through(c("g"), h, key), "wm": W.mean_through(c("gv"), h, key)})
     df = df.withColumns({"diff": c("g") - c("ma_g"), "acc": W.acceleration(c("ma_g"), 5, key), "w": F.when(F.abs(c("wm")) < 1e-9, 0.0).otherwise(signed_root(c("wm")))})
-    return df.select(key, "i", "g", "ma_g", "diff", "acc", "w", ratio(c("w"), c("g")).alias("w_g"))
+    return df.select(*key, "i", "g", "ma_g", "diff", "acc", "w", ratio(c("w"), c("g")).alias("w_g"))
 
 
 def usable(x: str):

@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import natural_key, no_nan, number, padded
+from ..functions import divided, natural_key, no_nan, number, padded
 from . import windows as W
+from .blocks import ROWS, in_blocks
+
+
+def pairs(pred: DataFrame, key: list[str] | None = None, keep: tuple[str, ...] = (), block: int = ROWS) -> DataFrame:
+    """key, i, f = the row's own return and y = the forecast of the row before, from the third row on, for forecasts (key, i, p, y_pred); ``keep``: further columns of the row before."""
+    key = key or ["stk"]
+    before = lambda c, keys: F.lag(c).over(W.by_key(keys))
+    lagged = lambda df, keys: df.select(*keys, "i", W.target(F.col("p"), keys).alias("f"), before("y_pred", keys).alias("y"), *(before(c, keys).alias(c) for c in keep))
+    return in_blocks(pred.select(*key, "i", "p", "y_pred", *keep), lagged, key, "i", 1, block=block).where("i >= 2")
 
 
 def errors(pred: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -14,24 +25,91 @@ def errors(pred: DataFrame, key: list[str] | None = None) -> DataFrame:
 
     pred: stk, i, target, y_pred and further key columns (method, length)."""
     key = key or ["stk"]
-    w = W.Window.partitionBy(*key).orderBy("i")
-    return pred.withColumn("e", F.col("target") - F.lag("y_pred").over(w)).withColumn("f", F.col("target")).where("i >= 2").select(*key, "i", "e", "f")
+    lagged = lambda df, keys: df.select(*keys, "i", (F.col("target") - F.lag("y_pred").over(W.by_key(keys))).alias("e"), F.col("target").alias("f"))
+    return in_blocks(pred.select(*key, "i", "target", "y_pred"), lagged, key, "i", 1).where("i >= 2")
+
+
+#: Histogram bins in an octave of values.
+BINS = 256
+
+
+def _bin(x):
+    """A whole number that does not fall as x rises; there are at most 2 * 2,200 * BINS of them."""
+    high = F.floor(F.log2(F.abs(x)) * BINS) + 1_200 * BINS
+    high = F.when(F.abs(x) == float("inf"), 2_300 * BINS).otherwise(high)
+    return F.when(x == 0, 0).when(x > 0, high).otherwise(-high).cast("int")
+
+
+def quantiles(df: DataFrame, keys: list[str], columns: list[str], qs: list[float]) -> DataFrame:
+    """Per key, exact quantiles with linear interpolation of each column, as arrays by its name; nulls and NaN are skipped.
+
+    The values of a key are counted in a logarithmic histogram, of bounded size whatever the key has; the bins that hold the wanted
+    ranks are told from its running totals, and only these are put in order, a task having one bin. Equal values are summed up
+    before they move. A key all of whose values are null is not in the result."""
+    each = df.select(*keys, F.explode(F.array(*(F.struct(F.lit(k).alias("c"), no_nan(F.col(c).cast("double")).alias("x")) for k, c in enumerate(columns)))).alias("s")).select(*keys, "s.*").where("x is not null")
+    by = [*keys, "c"]
+    # 0 and -0 are one value
+    counts = each.select(*by, (F.col("x") + 0.0).alias("x")).withColumn("bin", _bin(F.col("x"))).groupBy(*by, "bin", "x").agg(F.count(F.lit(1)).alias("n"))
+    whole = W.Window.partitionBy(*by)
+    upto = whole.orderBy("bin").rowsBetween(W.Window.unboundedPreceding, 0)
+    bins = counts.groupBy(*by, "bin").agg(F.sum("n").alias("n")).withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(whole)})
+    place = [(F.col("all") - 1) * q for q in qs]
+    ranks = F.array(*(f(p).cast("long") for p in place for f in (F.floor, F.ceil)))
+    bins = bins.select(*by, "bin", "all", (F.col("upto") - F.col("n")).alias("first"), "upto").withColumn("ranks", ranks)
+    bins = bins.where(F.exists("ranks", lambda r: (r >= F.col("first")) & (r < F.col("upto")))).drop("upto")
+    inside = W.Window.partitionBy(*by, "bin").orderBy("x").rowsBetween(W.Window.unboundedPreceding, 0)
+    found = counts.join(bins, [*by, "bin"]).withColumn("upto", F.col("first") + F.sum("n").over(inside))
+    at = lambda k: F.max(F.when((F.get("ranks", F.lit(k)) < F.col("upto")) & (F.get("ranks", F.lit(k)) >= F.col("upto") - F.col("n")), F.col("x")))
+    rows = found.groupBy(*by).agg(F.max("all").alias("all"), *(at(k).alias(f"v{k}") for k in range(2 * len(qs))))
+    mixed = [F.when(F.col(f"v{2 * k}") == F.col(f"v{2 * k + 1}"), F.col(f"v{2 * k}")).otherwise(F.col(f"v{2 * k}") + (F.col(f"v{2 * k + 1}") - F.col(f"v{2 * k}")) * (p - F.floor(p))) for k, p in enumerate(place)]
+    own = rows.select(*by, F.array(*mixed).alias("q"))
+    return own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"), *(F.max(F.when(F.col("c") == k, F.col("q"))).alias(c) for k, c in enumerate(columns))).drop("_c")
 
 
 def evaluate(pred: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Per key: n samples, base and abs (median plus half the 90 % quantile of absolute values, exact), rel = 1 - abs / base (0 if base is 0)."""
-    key = key or ["stk"]
-    q = lambda c: F.percentile(F.abs(no_nan(F.col(c))), F.array(F.lit(0.5), F.lit(0.9)))
-    out = errors(pred, key).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), q("e").alias("qe"), q("f").alias("qf"))
-    size = lambda c: F.col(c)[0] + 0.5 * F.col(c)[1]
-    out = out.select(*key, "n", size("qf").alias("base"), size("qe").alias("abs"))
-    return out.withColumn("rel", F.when(F.col("base") > 0, 1 - F.try_divide(F.col("abs"), F.col("base"))).otherwise(0.0))
+    return scored(errors(pred, key), key or ["stk"])
+
+
+def evaluate_forecasts(pred: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """The same for forecasts (key, i, p, y_pred), their targets being the returns of p."""
+    return scored(pairs(pred, key).withColumn("e", F.col("f") - F.col("y")), key or ["stk"])
+
+
+def _size(c):
+    return F.col(c)[0] + 0.5 * F.col(c)[1]
+
+
+def scored(found: DataFrame, key: list[str], zero: float | None = 0.0) -> DataFrame:
+    """``evaluate`` from errors e and targets f. ``zero``: rel where base is 0; None: the quotient there too, by IEEE rules."""
+    sized = found.select(*key, F.abs("e").alias("qe"), F.abs("f").alias("qf"))
+    out = sized.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(quantiles(sized, key, ["qe", "qf"], [0.5, 0.9]), key, "left")
+    return _rated(out.select(*key, "n", _size("qf").alias("base"), _size("qe").alias("abs")), zero)
+
+
+def _rated(out: DataFrame, zero: float | None = 0.0) -> DataFrame:
+    quotient = 1 - F.try_divide(F.col("abs"), F.col("base")) if zero is not None else 1 - divided(F.col("abs"), F.col("base"))
+    return out.withColumn("rel", quotient if zero is None else F.when(F.col("base") > 0, quotient).otherwise(zero))
+
+
+def swept(pred: DataFrame, name: str, values: list[float], y: Callable, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Scores per (``name``, stk): forecasts (stk, i, p, y_pred) are made and shifted once; ``y(value)`` over y and ``keep`` is what each value makes of them."""
+    found = pairs(pred, None, keep)
+    each = found.select("stk", "f", F.explode(F.array(*(F.struct(F.lit(v).alias(name), (F.col("f") - y(F.lit(v))).alias("e")) for v in values))).alias("s")).select("stk", "f", "s.*")
+    key = [name, "stk"]
+    sizes = quantiles(each.select(*key, F.abs("e").alias("qe")), key, ["qe"], [0.5, 0.9])
+    base = quantiles(found.select("stk", F.abs("f").alias("qf")), ["stk"], ["qf"], [0.5, 0.9])
+    n = found.groupBy("stk").agg(F.count(F.lit(1)).alias("n"))
+    rows = n.select("stk", "n", F.explode(F.array(*map(F.lit, values))).alias(name))
+    return _rated(rows.join(base, "stk", "left").join(sizes, key, "left").select(*key, "n", _size("qf").alias("base"), _size("qe").alias("abs")))
 
 
 def summary(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per method: median and mean of abs and rel, and the share of keys with rel > 0 in percent."""
     by = by or ["method"]
-    return scores.groupBy(*by).agg(F.median("abs").alias("median_abs"), F.avg("abs").alias("mean_abs"), F.median("rel").alias("median_rel"), F.avg("rel").alias("mean_rel"), F.avg(F.when(F.col("rel") > 0, 100.0).otherwise(0.0)).alias("pct_rel_pos"))
+    means = scores.groupBy(*by).agg(F.avg("abs").alias("mean_abs"), F.avg("rel").alias("mean_rel"), F.avg(F.when(F.col("rel") > 0, 100.0).otherwise(0.0)).alias("pct_rel_pos"))
+    middle = quantiles(scores, by, ["abs", "rel"], [0.5]).select(*by, F.col("abs")[0].alias("median_abs"), F.col("rel")[0].alias("median_rel"))
+    return means.join(middle, by, "left").select(*by, "median_abs", "mean_abs", "median_rel", "mean_rel", "pct_rel_pos")
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions import log_volume, no_nan, signed_root
 from ..operators import address, explore, ridge, score
 from ..operators import features as feats
 from ..operators import windows as W
+from ..operators.blocks import in_blocks
 from . import registry as R
 from . import ridge_sql
 
@@ -123,43 +124,67 @@ def short_series(spark, sf_dir):
 # --- windows ----------------------------------------------------------------------------------------------------------
 
 
-def windowed(**cols) -> Callable:
+#: Rows that the window queries reach back.
+REACH = 60
+
+
+def windowed(grown: bool = False, **cols) -> Callable:
+    """Windows of bounded reach, in blocks of long keys; ``grown``: over the growth since the first row too."""
+
+    def each(df, keys):
+        df = df.withColumns({"r": W.returns(C("p"), keys), "d": W.difference(C("p"), keys), "lv": log_volume(C("v"))})
+        return df.select(*keys, "i", *(f(keys).alias(n) for n, f in cols.items()))
+
     def run(spark, sf_dir):
-        df = bars_of(spark, sf_dir).withColumns({"r": W.returns(C("p")), "d": W.difference(C("p")), "lv": log_volume(C("v")), "g": W.growth(C("p"))})
-        return six(df.select("stk", "i", *(f().alias(n) for n, f in cols.items())))
+        df = bars_of(spark, sf_dir)
+        return six(in_blocks(W.with_growth(df, g="p") if grown else df, each, ["stk"], "i", REACH))
 
     return run
 
 
-def add(name: str, sql: list[str], source: str = "rets", prelude: str = RET, **cols) -> None:
-    query(pick(prelude, source, *sql), name)(windowed(**cols))
+def add(name: str, sql: list[str], source: str = "rets", prelude: str = RET, grown: bool = False, **cols) -> None:
+    query(pick(prelude, source, *sql), name)(windowed(grown, **cols))
+
+
+add("returns", r6(r="r"), r=lambda k: C("r"))
+add("lags", r6(r1=f"coalesce(lag(r, 1) OVER ({W0}), 0)", r2=f"coalesce(lag(r, 2) OVER ({W0}), 0)"), r1=lambda k: W.lagged(C("r"), 1, key=k), r2=lambda k: W.lagged(C("r"), 2, key=k))
+add("difference", r6(d="d"), d=lambda k: C("d"))
+add("ma_w", r6(ma5=f"avg(p) OVER {last(5)}", ma50=f"avg(p) OVER {last(50)}"), ma5=lambda k: W.mean(C("p"), 5, key=k), ma50=lambda k: W.mean(C("p"), 50, key=k))
+add("ma_h1", r6(ma20=f"avg(p) OVER {last(21)}", ma5=f"avg(p) OVER {last(6)}"), ma20=lambda k: W.mean_through(C("p"), 20, key=k), ma5=lambda k: W.mean_through(C("p"), 5, key=k))
+add("vol_pop", r6(vol5=f"stddev_pop(r) OVER {last(5)}", vol20=f"stddev_pop(r) OVER {last(20)}"), vol5=lambda k: W.std(C("r"), 5, key=k), vol20=lambda k: W.std(C("r"), 20, key=k))
+add("dlogv", r6(x=f"coalesce(lv - lag(lv) OVER ({W0}), 0)"), x=lambda k: W.difference(C("lv"), key=k))
+add("rsi14", r6(rsi=f"100 - 100 / (1 + avg(greatest(d, 0)) OVER {last(14)} / (avg(greatest(-d, 0)) OVER {last(14)} + 1e-12))"), rsi=lambda k: W.rsi(C("d"), key=k))
+add("acceleration", r6(acc=f"p / coalesce(lag(p, 5) OVER ({W0}), first_value(p) OVER ({W0})) - 1"), acc=lambda k: W.acceleration(C("p"), key=k))
+add("target", r6(t=f"coalesce(p / lag(p) OVER ({W0}) - 1, 0)"), t=lambda k: W.target(C("p"), key=k))
+add("signed_root", r6(x=f"sign(g) * pow(abs(g), 0.25)"), "gr", f"{RET}, gr AS (SELECT *, p / first_value(p) OVER ({W0}) - 1 AS g FROM rets)", grown=True, x=lambda k: signed_root(C("g")))
 
 
-add("returns", r6(r="r"), r=lambda: C("r"))
-add("lags", r6(r1=f"coalesce(lag(r, 1) OVER ({W0}), 0)", r2=f"coalesce(lag(r, 2) OVER ({W0}), 0)"), r1=lambda: W.lagged(C("r"), 1), r2=lambda: W.lagged(C("r"), 2))
-add("difference", r6(d="d"), d=lambda: C("d"))
-add("ma_w", r6(ma5=f"avg(p) OVER {last(5)}", ma50=f"avg(p) OVER {last(50)}"), ma5=lambda: W.mean(C("p"), 5), ma50=lambda: W.mean(C("p"), 50))
-add("ma_h1", r6(ma20=f"avg(p) OVER {last(21)}", ma5=f"avg(p) OVER {last(6)}"), ma20=lambda: W.mean_through(C("p"), 20), ma5=lambda: W.mean_through(C("p"), 5))
-add("vol_pop", r6(vol5=f"stddev_pop(r) OVER {last(5)}", vol20=f"stddev_pop(r) OVER {last(20)}"), vol5=lambda: W.std(C("r"), 5), vol20=lambda: W.std(C("r"), 20))
-add("dlogv", r6(x=f"coalesce(lv - lag(lv) OVER ({W0}), 0)"), x=lambda: W.difference(C("lv")))
-add("rsi14", r6(rsi=f"100 - 100 / (1 + avg(greatest(d, 0)) OVER {last(14)} / (avg(greatest(-d, 0)) OVER {last(14)} + 1e-12))"), rsi=lambda: W.rsi(C("d")))
-add("obv", [f"sum(CASE WHEN i > 0 THEN sign(d) * v ELSE 0 END) OVER ({W0} ROWS UNBOUNDED PRECEDING) AS obv"], obv=lambda: W.obv(C("d"), C("v")))
-add("growth", r6(g=f"p / first_value(p) OVER ({W0}) - 1"), g=lambda: C("g"))
-add("acceleration", r6(acc=f"p / coalesce(lag(p, 5) OVER ({W0}), first_value(p) OVER ({W0})) - 1"), acc=lambda: W.acceleration(C("p")))
-add("target", r6(t=f"coalesce(p / lag(p) OVER ({W0}) - 1, 0)"), t=lambda: W.target(C("p")))
-add("expanding_std", r6(s=f"stddev_pop(CASE WHEN i >= 60 THEN r END) OVER ({W0} ROWS UNBOUNDED PRECEDING) + 1e-12"), s=lambda: W.expanding_std(C("r"), 60))
-add("signed_root", r6(x=f"sign(g) * pow(abs(g), 0.25)"), "gr", f"{RET}, gr AS (SELECT *, p / first_value(p) OVER ({W0}) - 1 AS g FROM rets)", x=lambda: signed_root(C("g")))
+@query(pick(RET, "rets", f"sum(CASE WHEN i > 0 THEN sign(d) * v ELSE 0 END) OVER ({W0} ROWS UNBOUNDED PRECEDING) AS obv"))
+def obv(spark, sf_dir):
+    moved = in_blocks(bars_of(spark, sf_dir), lambda df, keys: df.withColumn("d", W.difference(C("p"), keys)), ["stk"], "i", 1)
+    return six(W.with_obv(moved, "d", "v", "obv").select("stk", "i", "obv"))
+
+
+@query(pick(RET, "rets", *r6(g=f"p / first_value(p) OVER ({W0}) - 1")))
+def growth(spark, sf_dir):
+    return six(W.with_growth(bars_of(spark, sf_dir), g="p").select("stk", "i", "g"))
+
+
+@query(pick(RET, "rets", *r6(s=f"stddev_pop(CASE WHEN i >= 60 THEN r END) OVER ({W0} ROWS UNBOUNDED PRECEDING) + 1e-12")))
+def expanding_std(spark, sf_dir):
+    moved = in_blocks(bars_of(spark, sf_dir), lambda df, keys: df.withColumn("r", W.returns(C("p"), keys)), ["stk"], "i", 1)
+    return six(W.with_expanding_std(moved, "r", 60, "s").select("stk", "i", "s"))
 
 
 @query(pick(EMA, "emas", *r6(e12="e12", e26="e26")))
 def ema12_26(spark, sf_dir):
-    b = bars_of(spark, sf_dir)
-    return six(W.ema(W.ema(b, "p", 12, "e12"), "p", 26, "e26").select("stk", "i", "e12", "e26"))
+    both = lambda df, keys: W.ema(W.ema(df, "p", 12, "e12", keys), "p", 26, "e26", keys).select(*keys, "i", "e12", "e26")
+    return six(in_blocks(bars_of(spark, sf_dir), both, ["stk"], "i", feats.HALO))
 
 
 @query(pick(EMA, "emas", *r6(macd="macd", macd_hist="macd_hist")))
 def macd_hist(spark, sf_dir):
-    return six(feats.macd(bars_of(spark, sf_dir)).select("stk", "i", "macd", "macd_hist"))
+    return six(in_blocks(bars_of(spark, sf_dir), lambda df, keys: feats.macd(df, key=keys), ["stk"], "i", feats.HALO).select("stk", "i", "macd", "macd_hist"))
 
 
 @query(pick(FEATS, "feats", *r6(obv_z="f16", volume_z="f12")))
@@ -189,12 +214,12 @@ def pred_ma(spark, sf_dir):
 
 @query(scored_sql(MA) + f"\nSELECT stk, n, {S6} FROM scores")
 def score_ma(spark, sf_dir):
-    return six(score.evaluate(R.with_target(R.METHODS["ma_reversion"](bars_of(spark, sf_dir)))))
+    return six(score.evaluate_forecasts(R.METHODS["ma_reversion"](bars_of(spark, sf_dir))))
 
 
 @query(scored_sql("0.0") + f"\nSELECT stk, n, {S6} FROM scores")
 def score_zero(spark, sf_dir):
-    return six(score.evaluate(R.with_target(R.METHODS["zero"](bars_of(spark, sf_dir)))))
+    return six(score.evaluate_forecasts(R.METHODS["zero"](bars_of(spark, sf_dir))))
 
 
 BOTH = f"""{BARS},
@@ -233,12 +258,12 @@ def head_to_head(spark, sf_dir):
 @query(scored_sql(MA) + """, l AS (SELECT 'base' AS measure, base AS x FROM scores UNION ALL SELECT 'abs', abs FROM scores UNION ALL SELECT 'rel', rel FROM scores)
 SELECT measure, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS min, round(max(x), 6) AS max, round(median(x), 6) AS median FROM l GROUP BY measure""")
 def panel_stats(spark, sf_dir):
-    return six(score.panel_stats(score.evaluate(R.with_target(R.METHODS["ma_reversion"](bars_of(spark, sf_dir))))))
+    return six(score.panel_stats(score.evaluate_forecasts(R.METHODS["ma_reversion"](bars_of(spark, sf_dir)))))
 
 
 @query(scored_sql(MA) + "\nSELECT stk, coalesce(try_cast(regexp_replace(stk, '[^0-9]', '', 'g') AS BIGINT), 0) AS order_key, n FROM scores")
 def natural_order(spark, sf_dir):
-    return score.in_natural_order(score.evaluate(R.with_target(R.METHODS["ma_reversion"](bars_of(spark, sf_dir))))).select("stk", "order_key", "n")
+    return score.in_natural_order(score.evaluate_forecasts(R.METHODS["ma_reversion"](bars_of(spark, sf_dir)))).select("stk", "order_key", "n")
 
 
 SWEEP = (0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 1.0)
@@ -361,10 +386,10 @@ def shrink_sweep_ridge(spark, sf_dir):
     return six(score.summary(R.shrink_sweep(R.METHODS["baseline_v2"](bars_of(spark, sf_dir)), 0.10, list(SHRINKS)), ["shrink"]))
 
 
-@query(swept_sql(made_by("baseline_v2", "y"), "shrink", PARAM_SHRINKS, "least(greatest(y * shrink / 0.35, -0.03), 0.03)"))
+@query(swept_sql(made_by("baseline_v2", "y"), "shrink", PARAM_SHRINKS, "least(greatest(y * shrink / 0.35, -0.05), 0.05)"))
 def shrink_sweep_param(spark, sf_dir):
-    """The rescaled predictor, which takes the base forecasts as those of shrinkage 0.35."""
-    return six(score.summary(R.shrink_sweep(R.METHODS["baseline_v2"](bars_of(spark, sf_dir)), 0.35, list(PARAM_SHRINKS)), ["shrink"]))
+    """The rescaled predictor, which takes the base forecasts as those of shrinkage 0.35, and clips them at 0.05."""
+    return six(score.summary(R.shrink_sweep(R.METHODS["baseline_v2"](bars_of(spark, sf_dir)), 0.35, list(PARAM_SHRINKS), 0.05), ["shrink"]))
 
 
 @query(swept_sql(f"({FORECASTS['pooled_ridge'][0]}\nSELECT stk, i, p, CASE WHEN i < 60 THEN 0 ELSE raw END AS y FROM pred)", "shrink", POOLED_SHRINKS, "least(greatest(y * shrink / 1.0, -0.03), 0.03)"))
@@ -389,16 +414,14 @@ def tail_sweep_ridge(spark, sf_dir):
 def ensemble_alpha(spark, sf_dir):
     b = bars_of(spark, sf_dir)
     a, c = R.METHODS["baseline_v2"](b), R.METHODS["pooled_ridge"](b)
-    mixed = a.join(c.select("stk", "i", C("y_pred").alias("_c")), ["stk", "i"]).select("stk", "i", "p", "y_pred", "_c", F.explode(F.array(*map(F.lit, ALPHAS))).alias("alpha"))
-    mixed = mixed.withColumn("y_pred", C("alpha") * C("y_pred") + (1 - C("alpha")) * C("_c"))
-    return six(score.summary(score.evaluate(R.with_target(mixed, ["alpha", "stk"]), ["alpha", "stk"]), ["alpha"]))
+    mixed = a.select("stk", "i", "p", "y_pred").join(c.select("stk", "i", C("y_pred").alias("_c")), ["stk", "i"])
+    return six(score.summary(score.swept(mixed, "alpha", list(ALPHAS), lambda v: v * C("y") + (1 - v) * C("_c"), ("_c",)), ["alpha"]))
 
 
 @query(swept_sql(f"({ridge_sql.forecasts(FEATS, R.POOLED.with_(shrink=0.05), True)}\nSELECT stk, i, p, y_pred AS y FROM pred)", "scale", SCALES, "y * scale"))
 def scale_blend(spark, sf_dir):
     pred = ridge.predict_pooled(feats.features(bars_of(spark, sf_dir)), R.POOLED.with_(shrink=0.05))
-    each = pred.select("stk", "i", "p", "y_pred", F.explode(F.array(*map(F.lit, SCALES))).alias("scale")).withColumn("y_pred", C("y_pred") * C("scale"))
-    return six(score.summary(score.evaluate(R.with_target(each, ["scale", "stk"]), ["scale", "stk"]), ["scale"]))
+    return six(score.summary(score.swept(pred, "scale", list(SCALES), lambda v: v * C("y")), ["scale"]))
 
 
 @query()

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import cap, clip, guarded
 from ..operators import ridge, trees
 from ..operators import windows as W
+from ..operators.blocks import in_blocks
 from ..operators.features import features, features5
-from ..operators.score import evaluate
+from ..operators.score import evaluate_forecasts, swept
 
 Predictor = Callable[[DataFrame], DataFrame]
 METHODS: dict[str, Predictor] = {}
@@ -49,7 +50,8 @@ def zero(bars: DataFrame) -> DataFrame:
 @method("ma_reversion")
 def ma_reversion(bars: DataFrame, h: int = 5, most: float = 0.07) -> DataFrame:
     """Towards the mean of h + 1 rows."""
-    return bars.select("stk", "i", "p", clip(F.avg("p").over(W.rows(h)) / guarded(F.col("p")) - 1, most).alias("y_pred"))
+    reverted = lambda df, keys: df.select(*keys, "i", "p", clip(F.avg("p").over(W.rows(h, keys)) / guarded(F.col("p")) - 1, most).alias("y_pred"))
+    return in_blocks(bars.select("stk", "i", "p"), reverted, ["stk"], "i", h)
 
 
 @method("online5")
@@ -68,7 +70,7 @@ POOLED = BASE.with_(refit=20)
 
 
 def ridge_method(name: str, plan: ridge.Plan) -> None:
-    METHODS[name] = lambda bars: ridge.predict(features(bars), plan)
+    METHODS[name] = lambda bars: ridge.predict(bars, plan)
 
 
 for _name, _plan in PLANS.items():
@@ -88,7 +90,7 @@ def half_blend(bars: DataFrame) -> DataFrame:
 @method("sign_conservative")
 def sign_conservative(bars: DataFrame, share: float = 0.3) -> DataFrame:
     """The base forecast, at most a share of volatility in size."""
-    made = ridge.predict_many(features(bars), {"base": BASE})
+    made = ridge.predict_many(bars, {"base": BASE})
     return made.select("stk", "i", "p", cap(F.col("y_pred"), share * F.col("vol20")).alias("y_pred"))
 
 
@@ -115,17 +117,14 @@ def ensemble(a: DataFrame, b: DataFrame, alpha: float) -> DataFrame:
 
 
 def with_target(pred: DataFrame, key: list[str] | None = None) -> DataFrame:
-    from ..functions import divided
-
-    w = W.Window.partitionBy(*(key or ["stk"])).orderBy("i")
-    return pred.withColumn("target", F.coalesce(divided(F.col("p"), F.lag("p").over(w)) - 1, F.lit(0.0)))
+    return in_blocks(pred, lambda df, keys: df.withColumn("target", W.target(F.col("p"), keys)), key or ["stk"], "i", 1)
 
 
 def ridge_family(bars: DataFrame, names: list[str]) -> DataFrame:
     """method, stk, i, p, y_pred of those methods that a ridge model per key gives, all from one pass over the features."""
     derived = [n for n in ("half_blend", "sign_conservative") if n in names]
     base = ["baseline_v2"] if derived else []
-    many = ridge.predict_many(features(bars), {n: PLANS[n] for n in PLANS if n in [*names, *base]})
+    many = ridge.predict_many(bars, {n: PLANS[n] for n in PLANS if n in [*names, *base]})
     y = F.col("y_pred")
     made = {"half_blend": 0.5 * y, "sign_conservative": cap(y, 0.3 * F.col("vol20"))}
     one = lambda n, v: F.struct(n.alias("method"), v.alias("y_pred"))
@@ -140,16 +139,12 @@ def compare(bars: DataFrame, names: list[str]) -> DataFrame:
     for n in (n for n in names if n not in family):
         own = METHODS[n](bars).select(F.lit(n).alias("method"), "stk", "i", "p", "y_pred")
         out = own if out is None else out.unionByName(own)
-    key = ["method", "stk"]
-    return evaluate(with_target(out, key), key)
+    return evaluate_forecasts(out, ["method", "stk"])
 
 
 def shrink_sweep(pred: DataFrame, old: float, values: list[float], most: float = 0.03) -> DataFrame:
     """Scores per (shrink, stk): the forecasts are made once and rescaled for each value."""
-    table = F.explode(F.array(*map(F.lit, values))).alias("shrink")
-    each = pred.select("stk", "i", "p", "y_pred", table).withColumn("y_pred", F.least(F.greatest(F.col("y_pred") * F.col("shrink") / old, F.lit(-most)), F.lit(most)))
-    key = ["shrink", "stk"]
-    return evaluate(with_target(each, key), key)
+    return swept(pred, "shrink", values, lambda v: F.least(F.greatest(F.col("y") * v / old, F.lit(-most)), F.lit(most)))
 
 
 def tail_sweep(bars: DataFrame, lengths: list[int | None], predictor: Predictor) -> DataFrame:
@@ -160,5 +155,5 @@ def tail_sweep(bars: DataFrame, lengths: list[int | None], predictor: Predictor)
     each = each.withColumn("key", F.concat_ws("|", F.col("length").cast("string"), "stk"))
     each = each.withColumn("i", (F.row_number().over(W.Window.partitionBy("key").orderBy("i")) - 1).cast("int"))
     pred = predictor(each.select(F.col("key").alias("stk"), "i", "p", "v"))
-    scores = evaluate(with_target(pred))
+    scores = evaluate_forecasts(pred)
     return scores.select(F.split_part("stk", F.lit("|"), F.lit(1)).cast("int").alias("length"), F.split_part("stk", F.lit("|"), F.lit(2)).alias("stk"), "n", "base", "abs", "rel")

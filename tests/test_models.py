@@ -61,7 +61,7 @@ def test_no_look_ahead(spark, name):
 def test_pooled_of_one_key_is_its_own_model(spark):
     p, v = walk(200, 6)
     df = bars(spark, {"a": (p, v)})
-    own = ridge.predict(feats.features(df), ridge.Plan(refit=20))
+    own = ridge.predict(df, ridge.Plan(refit=20))
     assert np.allclose(predicted(R.METHODS["pooled_ridge"](df)), predicted(own), rtol=1e-6, atol=1e-10)
 
 
