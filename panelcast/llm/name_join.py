@@ -142,7 +142,8 @@ def candidates(left: DataFrame, right: DataFrame, most: int = MOST, wide: int =
     keys = lambda df, right: df.select("name").where("name != ''").distinct().mapInArrow(_emit(most, wide, right), ddl)
     a, b = keys(left, False).alias("a"), keys(right, True).alias("b")
     apart = F.expr("NOT (a.d1 != 0 AND (a.d1 = b.d1 OR a.d1 = b.d2) OR a.d2 != 0 AND (a.d2 = b.d1 OR a.d2 = b.d2))")
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & apart).select(F.col("a.name").alias("a"), F.col("b.name").alias("b"))
+    # what a name's keys come to is many times its size, which the planner does not see: no side is to be broadcast
+    return a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & apart).select(F.col("a.name").alias("a"), F.col("b.name").alias("b"))
 
 
 def pairs(left: DataFrame, right: DataFrame, most: int = MOST, wide: int = WIDE) -> DataFrame:
@@ -171,9 +172,9 @@ def count_matches(clients: DataFrame, vendors: DataFrame) -> DataFrame:
     named = clients.select(ids.alias("client_id"), lowered("name").alias("b")).where("b != ''")
     named = named.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("client_id").alias("least"), F.sum(F.crc32(F.col("client_id").cast("string"))).alias("crc"))
     spelt = misspelt(vendors)
-    found = pairs(spelt, named.withColumnRenamed("b", "name")).join(named, "b")
+    found = pairs(spelt, named.withColumnRenamed("b", "name")).join(named.hint("merge"), "b")
     found = found.groupBy(F.col("a").alias("name"), "distance").agg(F.sum("n").alias("n_clients"), F.min("least").alias("first_client_id"), F.sum("crc").alias("clients_crc"))
-    return spelt.join(found, "name").select("vendor_id", "distance", "n_clients", "first_client_id", "clients_crc", "name")
+    return spelt.join(found.hint("merge"), "name").select("vendor_id", "distance", "n_clients", "first_client_id", "clients_crc", "name")
 
 
 def sql_crc32(text: str) -> str:
