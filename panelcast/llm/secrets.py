@@ -95,7 +95,8 @@ def _links(cand: DataFrame, scope: int) -> DataFrame:
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """docs with ``base`` and ``spans``: arrays of (start, k, end), k an index of KINDS, sorted by start and kind."""
     docs = docs.drop("base", "spans")
-    return _linked(stored(_with_spans(docs), "spans"), docs.columns, scope)
+    inner = own_names(docs)
+    return _linked(stored(_with_spans(inner), "spans"), inner.columns, scope).toDF(*docs.columns, "base", "spans")
 
 
 def _linked(found: DataFrame, keep: list[str], scope: int) -> DataFrame:

@@ -12,8 +12,9 @@ method judges the others. Per host, paths become templates, level by level from
 The same tree is grown once more over the urls of all hosts. A template is judged by its labelled purity, smoothed towards the
 share of blocked urls among all labelled ones (one half at most); one of fewer than ``support`` labels is judged by the
 template that the url has in the tree of all hosts (its name starts with ``*``). It is rejected if the purity reaches ``purity``.
-All statistics are sums over all urls, first summed map-side per distinct template; a hot host or template is never gathered in
-one task.
+All statistics are sums over all urls, first summed map-side per distinct template. Each key that is joined carries the number of
+rows that have it, and the hot ones (a host's template with many urls, the root page that every host has) are broadcast
+(``common.joined``), so none is gathered in one task. Segments of any length are keyed by their SHA-256.
 
 Defined results: a null url, or one without ``://``, has empty host and path, which no rule fits and the method allows; equal rows each give a row;
 urls of any length are read whole; further columns are dropped.
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, stored
+from .common import joined, remove, stored
 
 #: The rules of the contract, as (verdict, rule).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -60,32 +61,39 @@ def judge(pages: DataFrame, rules=RULES, depth: int = DEPTH, support: int = SUPP
     """page_id, host, path, rule, verdict, the template that judges each url, its smoothed purity, and the method's own verdict.
 
     ``hidden``: a condition on host and path; urls that meet it give no labels, so that the method can be held against their rules."""
+    made: list = []
     ruled = _ruled(_parse(pages), rules).withColumn("segs", _segments(depth)).withColumn("label", F.col("given") if hidden is None else F.when(~hidden, F.col("given")))
-    each = ruled.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("lab"), F.count_if(F.col("label") == "block").alias("blk"))
-    sums = [F.sum(c).alias(c) for c in ("n", "lab", "blk")]
-    each = stored(each, "urls")
-    tree = each.unionByName(each.groupBy("segs").agg(*sums).withColumn("host", F.lit(ALL))).withColumn("template", F.lit(""))
+    ruled = ruled.withColumn("id", F.sha2(F.to_json("segs"), 256))
+    each = ruled.groupBy("host", "id").agg(F.first("segs").alias("segs"), F.count(F.lit(1)).alias("n"), F.count("label").alias("lab"), F.count_if(F.col("label") == "block").alias("blk"))
+    sums, rows = [F.sum(c).alias(c) for c in ("n", "lab", "blk")], F.count(F.lit(1)).alias("rows")
+    each = stored(each, "urls", made)
+    over = each.groupBy("id").agg(F.first("segs").alias("segs"), *sums, F.count(F.lit(1)).alias("hosts")).withColumn("host", F.lit(ALL))
+    tree = stored(each.withColumn("hosts", F.lit(1).cast("long")).unionByName(over).withColumn("template", F.lit("")), "urls", made)
+    total = tree.count()
     for level in range(depth + 1):
         own = tree.withColumn("seg", F.get("segs", F.lit(level)))
-        child = own.where("seg is not null").groupBy("host", "template", "seg").agg(*sums)
-        whole = child.groupBy("host", "template").agg(F.sum("lab").alias("lab_all"), F.sum("blk").alias("blk_all"))
+        child = own.where("seg is not null").groupBy("host", "template", "seg").agg(*sums, rows)
+        whole = child.groupBy("host", "template").agg(F.sum("lab").alias("lab_all"), F.sum("blk").alias("blk_all"), F.count(F.lit(1)).alias("children"))
         rest, p = F.col("lab_all") - F.col("lab"), F.col("blk_all") / F.greatest(F.col("lab_all"), F.lit(1))
         gap = F.col("blk") / F.greatest(F.col("lab"), F.lit(1)) - (F.col("blk_all") - F.col("blk")) / F.greatest(rest, F.lit(1))
-        apart = (F.col("lab") >= support) & ((rest == 0) | (gap * gap > Z2 * p * (1 - p) * (1 / F.greatest(F.col("lab"), F.lit(1)) + 1 / F.greatest(rest, F.lit(1)))))
-        literal = child.join(whole, ["host", "template"]).where(apart).select("host", "template", "seg", F.lit(True).alias("literal"))
+        apart = (rest == 0) | (gap * gap > Z2 * p * (1 - p) * (1 / F.greatest(F.col("lab"), F.lit(1)) + 1 / F.greatest(rest, F.lit(1))))
+        literal = joined(child.where(F.col("lab") >= support), whole, ["host", "template"], "children", total).where(apart)
+        literal = stored(literal.select("host", "template", "seg", "rows", F.lit(True).alias("literal")), "literal", made)
         step = F.when(F.col("seg").isNull(), "").when(F.col("literal") | F.col("seg").isin("{n}", "{x}", "**"), F.concat(F.lit("/"), "seg")).otherwise("/*")
-        tree = own.join(literal, ["host", "template", "seg"], "left").withColumn("template", F.concat("template", step)).select("host", "segs", "n", "lab", "blk", "template")
-        tree = stored(tree, "urls")
+        tree = joined(own, literal, ["host", "template", "seg"], "rows", total).withColumn("template", F.concat("template", step)).select("host", "id", "segs", "n", "lab", "blk", "hosts", "template")
+        tree = stored(tree, "urls", made)
     mine = F.col("host") != ALL
     share = tree.where(mine).agg((F.sum("blk") / F.greatest(F.sum("lab"), F.lit(1))).alias("p"), F.sum("n").alias("n")).first()
     prior = min(0.5, share.p or 0.0)
     score = ((F.sum("blk") + STRENGTH * prior) / (F.sum("lab") + STRENGTH)).alias("purity")
-    pure = tree.groupBy("host", "template").agg(score, F.sum("lab").alias("known"))
-    judged = tree.select("host", "segs", "n", "template").join(pure, ["host", "template"])
-    over = judged.where(~mine).select("segs", F.concat(F.lit("*"), "template").alias("template2"), F.col("purity").alias("purity2"))
+    pure = stored(tree.groupBy("host", "template").agg(score, F.sum("lab").alias("known"), rows), "pure", made)
+    judged = stored(joined(tree.select("host", "id", "n", "hosts", "template"), pure, ["host", "template"], "rows", total).drop("rows"), "rated", made)
+    over = judged.where(~mine).select("id", "hosts", F.concat(F.lit("*"), "template").alias("template2"), F.col("purity").alias("purity2"))
     enough = F.col("known") >= support
-    judged = judged.where(mine).join(over, "segs").select("host", "segs", "n", F.when(enough, F.col("template")).otherwise(F.col("template2")).alias("template"), F.when(enough, F.col("purity")).otherwise(F.col("purity2")).alias("purity"))
-    out = joined(ruled, stored(judged, "judged"), ["host", "segs"], "n", share.n or 0)
+    judged = joined(judged.where(mine).drop("hosts"), over, ["id"], "hosts", total)
+    judged = stored(judged.select("host", "id", "n", F.when(enough, F.col("template")).otherwise(F.col("template2")).alias("template"), F.when(enough, F.col("purity")).otherwise(F.col("purity2")).alias("purity")), "judged")
+    remove(pages.sparkSession, made)
+    out = joined(ruled, judged, ["host", "id"], "n", share.n or 0)
     method = F.when((F.col("purity") >= purity) & (F.col("host") != ""), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("given", method).alias("verdict"), "template", F.round("purity", 6).alias("purity"), method.alias("method"))
 

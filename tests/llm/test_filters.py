@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelcast.llm import quality_classifier, quality_rules, secrets, toxicity, url_filter
+from panelcast.llm import common, quality_classifier, quality_rules, secrets, toxicity, url_filter
 from panelcast.llm.labelled import sampled
 
 MORE = "doc_id long, text string, score string, kept string, spans long"
@@ -332,7 +332,7 @@ def test_many_matches_in_one_text(spark):
 def test_templates_against_held_out_rules(spark):
     """Hosts whose rules the tree is not told, a fifth at a time: what it rejects there is what the rules block."""
     pages, right = spark.read.parquet("/root/testdata/sf0.1/pages.parquet"), Counter()
-    for fold in (0, 2, 3):
+    for fold in range(5):
         hidden = F.crc32(F.col("host").cast("binary")) % 5 == fold
         right.update((r.verdict, r.method) for r in url_filter.judge(pages, hidden=hidden).where(hidden & F.col("rule").isNotNull()).select("verdict", "method").collect())
     rejected = right["block", "block"] + right["allow", "block"]
@@ -340,6 +340,32 @@ def test_templates_against_held_out_rules(spark):
     assert url_filter.judge(pages).where("rule is null and verdict = 'block'").count() > 0
 
 
+def test_hot_urls_meet_in_no_task(spark, monkeypatch):
+    """Every join of the trees has, beside each key, the number of rows with that key, by which hot keys are told; results are those of the SQL."""
+    urls = [f"http://h{i}.{'net' if i % 3 else 'com'}/" for i in range(3000)] + [f"http://h{i}.net/a/{i}" for i in range(500)] + [f"http://one.example.com/{'de' if i % 2 else 'xx'}/{i}/p{i % 5}" for i in range(2000)]
+    pages, calls, joined = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), [], url_filter.joined
+
+    def counted(left, right, keys, weight, rows):
+        many = left.groupBy(*keys).count().join(right.select(*keys, F.col(weight).alias("_w")), keys).where("_w < count")
+        calls.append((keys, many.count(), right.groupBy(*keys).count().where("count > 1").count(), left.count() <= rows))
+        return joined(left, right, keys, weight, rows)
+
+    monkeypatch.setattr(common, "HOT", 20)
+    monkeypatch.setattr(url_filter, "joined", counted)
+    got = url_filter.judge(pages).collect()
+    assert len(calls) == 2 * 5 + 3 and all(c[1:] == (0, 0, True) for c in calls)
+    con = duckdb.connect()
+    con.register("frame", pages.toPandas())
+    con.sql("CREATE TABLE pages AS FROM frame")
+    assert Counter((r.page_id, r.verdict, r.template, r.purity) for r in got) == Counter(con.sql(f"SELECT page_id, verdict, template, purity FROM ({url_filter.oracle_sql()})").fetchall())
+
+
+def test_scan_keeps_any_column(spark):
+    names = ["doc_id", "text", "_t", "_m0", "_m5", "_base", "_weak", "_h", "_linked", "spans"]
+    got = secrets.scan(spark.createDataFrame([(1, "token=abcdefgh", *"abcdefgh")], ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))).first()
+    assert [got[n] for n in names[2:-1]] == list("abcdefg") and [tuple(x) for x in got.base] == [(0, 0, 14)] == [tuple(x) for x in got.spans]
+
+
 def test_template_of_other_hosts(spark):
     urls = [f"http://a{i % 7}.net/shop/{i}" for i in range(40)] + [f"http://a{i % 7}.org/fr/{i}" for i in range(40)] + ["http://b.com/shop/x", "http://c.com/shop/77", "http://c.com/fr/78", "http://d.com/" + "s" * 100_000, None] + [f"http://e{i}.net" for i in range(40)]
     got = {r.host + r.path: (r.verdict, r.template) for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
