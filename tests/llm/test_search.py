@@ -1,7 +1,7 @@
 """Vector search, similarity join, components and the pipeline, against brute force."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -204,6 +204,37 @@ def test_keep_one(spark):
     assert jaccard_join.join(d.limit(0)).count() == 0
 
 
+def test_keep_one_loses_no_document(spark):
+    """Rows of one doc_id with different texts are different documents; every component keeps one, and nothing else goes."""
+    t = "a b c d e f g h i j k l m n o p q r s t"
+    u = t.replace("a b", "x y")
+    rows = [(3, t), (4, t), (3, u + " v w"), (1, u + " v w"), (8, t + " z"), (8, "other text here"), (8, "yet another text"), (8, "yet another text"), (9, "!" * 70_000 + " b c"), (None, t), (5, None), (5, ""), (5, "  ")]
+    rows += [(k, "copied words in a row of them") for k in (40, 30, 50)] + [(30, "copied words in a row of more")]
+    d = spark.createDataFrame([(i, x, f"row {k}", "m") for k, (i, x) in enumerate(rows)], "doc_id long, text string, component string, mark string")
+    got = jaccard_join.keep_one(d)
+    assert got.columns == d.columns
+    shingles = lambda x: {tuple(x.lower().split()[i : i + 5]) for i in range(max(1, len(x.split()) - 4))}
+    linked = [k for k, (i, x) in enumerate(rows) if i is not None and x and x.split()]
+    parent = {k: k for k in linked}
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in linked:
+        for b in linked:
+            x, y = shingles(rows[a][1]), shingles(rows[b][1])
+            if 100 * len(x & y) >= 75 * len(x | y):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    best = {}
+    for k in linked:
+        best.setdefault(find(k), []).append(rows[k])
+    md5 = lambda x: __import__("hashlib").md5(x.encode()).hexdigest()
+    want = Counter(min(v, key=lambda r: (r[0], md5(r[1]))) for v in best.values()) + Counter(r for k, r in enumerate(rows) if k not in parent)
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == want and sum(want.values()) == 11
+
+
 def test_words_are_those_of_the_definition():
     t = "A\u00a0b\u2003c \x1cd\x0be\x0cf\x85g É"
     assert len(jaccard_join.word_hashes(t.encode().lower())) == len(__import__("re").findall(r"[^\x20\x09-\x0D]+", t))
