@@ -1,7 +1,9 @@
 """Matching free-text addresses with reference lists, and judging the result field by field.
 
-A matcher maps cases (id, text) to (id, province, ward, street). Reference lists are small (hundreds of names) and broadcast
-after a check of their size."""
+A matcher maps cases (id, text) to (id, province, ward, street). Names are compared through an index of their segments
+(``near``): two texts within k edits, one of them cut into k + 1 segments, have a segment in common, at places at most k apart. So
+names and texts meet in an equi-join on such segments, whatever the length of the lists, and only pairs that meet are compared.
+``nearest`` takes texts whose levels stand between commas, ``segmented`` texts without."""
 
 from __future__ import annotations
 
@@ -12,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import windows as W
+
 FIELDS = ("province", "ward", "street")
 #: Names that a broadcast list may have.
 MOST = 100_000
@@ -20,9 +24,67 @@ MARKS = {"a": "àáảãạăằắẳẵặâầấẩẫậäåā", "e": "èé
 
 
 def normalised(c):
-    """Lower case, marks stripped, punctuation and blanks as single blanks."""
+    """Lower case, marks stripped (of composed letters and combining ones), punctuation and blanks as single blanks."""
     marked, plain = "".join(MARKS.values()), "".join(k * len(v) for k, v in MARKS.items())
-    return F.trim(F.regexp_replace(F.translate(F.lower(c), marked, plain), "[^a-z0-9]+", " "))
+    bare = F.regexp_replace(F.translate(F.lower(c), marked, plain), r"\p{M}+", "")
+    return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
+
+
+#: Most edits that the index covers.
+EDITS = 3
+#: Names in a block of the comparison of all.
+BLOCK = 5_000
+
+
+def _keys(df: DataFrame, text: str, right: bool) -> DataFrame:
+    """df with ``key``s: of names the segments for each number of edits, of texts, which have a column k, all places of segments of names of similar length."""
+    size = f"length({text})"
+    at = "cast(floor(j * n / (k + 1)) as int)"
+    to = "cast(floor((j + 1) * n / (k + 1)) as int)"
+    if right:
+        spots = f"filter(transform(sequence(-k, k), d -> {at} + d), a -> a >= 0 AND a + {to} - {at} <= {size})"
+        each = f"transform({spots}, a -> concat_ws(':', k, n, j, substring({text}, a + 1, {to} - {at})))"
+        df = df.withColumn("n", F.expr(f"explode(sequence(greatest({size} - k, 0), {size} + k))"))
+        whole = f"array_distinct(flatten(transform(sequence(0, k), j -> {each})))"
+    else:
+        df = df.withColumn("n", F.length(text)).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(EDITS))))
+        whole = f"transform(sequence(0, k), j -> concat_ws(':', k, n, j, substring({text}, {at} + 1, {to} - {at})))"
+    return df.withColumn("key", F.explode(F.expr(whole))).drop("n", "k")
+
+
+def met(parts: DataFrame, names: DataFrame) -> DataFrame:
+    """The pairs that meet in the index, each once for every segment in which it does: of parts (kind, part, k) and names (kind, name, norm)."""
+    left = _keys(parts.select("kind", "part", "k", F.col("k").alias("most")), "part", True)
+    return left.join(_keys(names.select("kind", "name", "norm"), "norm", False), ["kind", "key"])
+
+
+def near(parts: DataFrame, names: DataFrame) -> DataFrame:
+    """kind, part, name, norm and distance of all pairs within k edits, k being a column of ``parts`` (kind, part, k) from 0 to EDITS; pairs come at least once."""
+    found = met(parts, names).select("kind", "part", "name", "norm", F.levenshtein("part", "norm", EDITS).alias("distance"), "most")
+    return found.where("distance >= 0 AND distance <= most").drop("most")
+
+
+def best_names(parts: DataFrame, names: DataFrame) -> DataFrame:
+    """(kind, part, name): for each distinct part the name of least edit distance, ties to the longer, then the smaller name. Kinds without names give nothing.
+
+    Where the index finds a name within some edits, it has all that are as near. Most parts have one within one edit, for which few
+    pairs meet; only the others are looked up with up to EDITS. What is left is compared with all names of its kind, a block of
+    names in a task."""
+    order = F.struct("distance", -F.length("norm"), "name")
+    far, found = parts.select("kind", "part").distinct(), None
+    for most in (1, EDITS):
+        asked = far.withColumn("k", F.least(F.greatest((F.length("part") / 4).cast("int"), F.lit(1)), F.lit(most)))
+        if found is not None:
+            asked = asked.where("k > 1")
+        own = near(asked, names).groupBy("kind", "part").agg(F.min_by("name", order).alias("name"))
+        far = far.join(own, ["kind", "part"], "left_anti")
+        found = own if found is None else found.unionByName(own)
+    # names in blocks of about BLOCK; a part goes to each block of its kind
+    many = names.groupBy("kind").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.lit(1)).cast("int").alias("blocks"))
+    split = names.join(many, "kind").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")).drop("blocks")
+    each = far.join(many, "kind").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
+    rest = each.join(split, ["kind", "block"]).withColumn("distance", F.levenshtein("part", "norm")).groupBy("kind", "part").agg(F.min_by("name", order).alias("name"))
+    return found.unionByName(rest)
 
 
 def checked(gazetteer: DataFrame) -> DataFrame:
@@ -41,21 +103,71 @@ def nearest(cases: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Segments between commas, from the right: province, ward, street; for each the name of least edit distance, ties to the longer, then the smaller name.
 
     A leading house number is dropped from the street unless the segment is a number alone."""
-    names = checked(gazetteer.where("name is not null").select("kind", "name", normalised(F.col("name")).alias("norm")))
+    names = gazetteer.where("name is not null").select("kind", "name", normalised(F.col("name")).alias("norm")).distinct()
     parts = F.reverse(F.split("text", ","))
     raw = {k: F.coalesce(F.get(parts, F.lit(i)), F.lit("")) for i, k in enumerate(FIELDS)}
     raw["street"] = F.regexp_replace(raw["street"], r"^\s*[0-9]+[A-Za-z]?(/[0-9]+)*\s+", "")
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), normalised(v).alias("part")) for k, v in raw.items()))).alias("s")
-    # an equal name is the nearest one; only what is left is compared with all names, each distinct segment once
-    same = F.broadcast(names.groupBy("kind", F.col("norm").alias("part")).agg(F.min("name").alias("name")))
+    # an equal name is the nearest one; only what is left is compared, each distinct segment once
+    same = names.groupBy("kind", F.col("norm").alias("part")).agg(F.min("name").alias("name"))
     known = cases.select("id", each).select("id", "s.*").join(same, ["kind", "part"], "left")
     rest = known.where("name is null").drop("name")
-    order = F.struct(F.levenshtein("part", "norm"), -F.length("norm"), "name")
-    near = rest.select("kind", "part").distinct().join(names, "kind").groupBy("kind", "part").agg(F.min_by("name", order).alias("name"))
-    found = known.where("name is not null").unionByName(rest.join(near, ["kind", "part"], "left"))
+    found = known.where("name is not null").unionByName(rest.join(best_names(rest, names), ["kind", "part"], "left"))
     return found.groupBy("id").agg(*(F.min(F.when(F.col("kind") == k, F.col("name"))).alias(k) for k in FIELDS))
 
 
+#: What a level without a name costs, in edits.
+MISSING = 4
+
+
+def segmented(cases: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """Texts in which nothing marks the levels: street, ward and province in this order, found together.
+
+    The words of a normalised text may be left out, at the cost of their letters (numbers for nothing); a run of words may stand
+    for a name of a level, at the cost of their edit distance, which may be a quarter of the run's letters, rounded down, and EDITS at
+    most; a level may have no name, for MISSING. The answer is the cheapest way, ties to more letters in its names, then to the
+    smaller street, ward and province. So a name that stands on two lists falls to the level that the rest of the text leaves it.
+
+    Runs have as many words as the longest name and one more at most. Distinct runs meet the lists in the index. The cheapest way
+    is found level by level: for each run of a level the best way of the levels before that ends no later, by a running minimum
+    over the places of the text, so the work grows with the runs that match and not with their combinations."""
+    names = gazetteer.where("name is not null").select("kind", "name", normalised(F.col("name")).alias("norm")).where("norm != ''").distinct()
+    longest = names.agg(F.max(F.size(F.split("norm", " ")))).first()[0] or 1
+    words = cases.select("id", F.split(normalised(F.col("text")), " ").alias("w"))
+    each = words.select("id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("lo"))
+    runs = each.select("id", "w", "lo", F.explode(F.sequence(F.col("lo") + 1, F.least(F.size("w"), F.col("lo") + longest + 1))).alias("hi"))
+    part = F.slice("w", F.col("lo") + 1, F.col("hi") - F.col("lo"))
+    cost = F.aggregate(part, F.lit(0), lambda n, x: n + F.when(x.rlike("^[0-9]+$"), 0).otherwise(F.length(x)))
+    runs = runs.select("id", "lo", "hi", F.array_join(part, " ").alias("part"), cost.alias("saved"))
+    distinct = runs.select("part").distinct().withColumn("k", F.least((F.length("part") / 4).cast("int"), F.lit(EDITS)))
+    distinct = distinct.select(F.explode(F.array(*map(F.lit, FIELDS))).alias("kind"), "part", "k")
+    order = F.struct("distance", -F.length("norm"), "name")
+    hits = near(distinct, names).groupBy("kind", "part").agg(F.min(order).alias("o")).select("kind", "part", F.col("o.distance").alias("distance"), (-F.col("o.col2")).alias("letters"), F.col("o.name").alias("name"))
+    found = runs.join(hits, "part")
+    # a way: what it costs against leaving all words out, the letters of its names, and these
+    way = lambda cost, letters, *found: F.struct(cost.cast("int").alias("cost"), letters.cast("int").alias("less"), *(n.cast("string").alias(k) for k, n in zip(("street", "ward", "province"), found, strict=False)))
+    none = F.lit(None)
+    start = way(F.lit(MISSING), F.lit(0), F.lit(""))
+    best = found.where("kind = 'street'").select("id", F.col("hi").alias("at"), way(F.col("distance") - F.col("saved"), -F.col("letters"), F.col("name")).alias("way"))
+    so_far = W.Window.partitionBy("id").orderBy("at", "turn").rowsBetween(W.Window.unboundedPreceding, 0)
+    for level in ("ward", "province"):
+        own = found.where(F.col("kind") == level).select("id", F.col("lo").alias("at"), F.col("hi"), F.col("distance") - F.col("saved"), F.col("letters"), F.col("name")).toDF("id", "at", "hi", "cost", "letters", "name")
+        blank = {c: none.cast(t) for c, t in own.dtypes if c not in ("id", "at")}
+        events = best.select("id", "at", F.lit(0).alias("turn"), "way", *(v.alias(c) for c, v in blank.items())).unionByName(own.withColumns({"turn": F.lit(1), "way": none.cast(best.schema["way"].dataType)}))
+        # of the ways that end no later; the one without names can begin anywhere
+        before = F.least(F.min("way").over(so_far), start)
+        events = events.withColumn("before", F.coalesce(before, start))
+        named = [F.col(f"before.{k}") for k in ("street", "ward")[: 1 if level == "ward" else 2]]
+        taken = events.where("turn = 1").select("id", F.col("hi").alias("at"), way(F.col("before.cost") + F.col("cost"), F.col("before.less") - F.col("letters"), *named, F.col("name")).alias("way"))
+        # or the level has no name
+        left = events.where("turn = 0").select("id", "at", way(F.col("way.cost") + MISSING, F.col("way.less"), *[F.col(f"way.{k}") for k in ("street", "ward")[: len(named)]], F.lit("")).alias("way"))
+        best = taken.unionByName(left)
+        start = way(F.lit(MISSING * (2 if level == "ward" else 3)), F.lit(0), *([F.lit("")] * (2 if level == "ward" else 3)))
+    answers = best.groupBy("id").agg(F.min("way").alias("way"))
+    answers = cases.select("id").join(answers, "id", "left").withColumn("way", F.least("way", start))
+    return answers.select("id", *(F.nullif(F.col(f"way.{k}"), F.lit("")).alias(k) for k in FIELDS))
+
+
 class FirstNames:
     """The first name of each list, whatever the text: the least that a class for ``solved`` has to do."""
 

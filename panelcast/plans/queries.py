@@ -440,7 +440,7 @@ CASES = """WITH c AS (SELECT c_custkey AS id, c_mktsegment, n_name, r_name, c_cu
 cases AS (SELECT id, id || ' ' || CASE WHEN id % 2 = 0 THEN lower(c_mktsegment) ELSE translate(c_mktsegment, 'AEIO', 'ÀÉÌÒ') END || ', ' ||
   CASE WHEN id % 3 = 0 THEN substr(n_name, 1, cut) || substr(n_name, cut + 2) ELSE n_name END || ', ' || r_name AS text, r_name AS province, n_name AS ward, c_mktsegment AS street FROM c)"""
 _MARKED, _PLAIN = "".join(address.MARKS.values()), "".join(k * len(v) for k, v in address.MARKS.items())
-NORM = lambda x: f"trim(regexp_replace(translate(lower({x}), '{_MARKED}', '{_PLAIN}'), '[^a-z0-9]+', ' ', 'g'))"
+NORM = lambda x: rf"trim(regexp_replace(regexp_replace(translate(lower({x}), '{_MARKED}', '{_PLAIN}'), '\p{{M}}+', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
 MATCH = rf"""{CASES}, names AS (SELECT 'province' AS kind, r_name AS name FROM region UNION ALL SELECT 'ward', n_name FROM nation UNION ALL SELECT DISTINCT 'street', c_mktsegment FROM customer),
 parts AS (SELECT id, 'province' AS kind, split_part(text, ',', 3) AS part FROM cases UNION ALL SELECT id, 'ward', split_part(text, ',', 2) FROM cases UNION ALL SELECT id, 'street', regexp_replace(split_part(text, ',', 1), '^\s*[0-9]+[A-Za-z]?(/[0-9]+)*\s+', '') FROM cases),
 ranked AS (SELECT id, kind, name, row_number() OVER (PARTITION BY id, kind ORDER BY levenshtein({NORM("part")}, {NORM("name")}), -length({NORM("name")}), name) AS k FROM parts JOIN names USING (kind)),
@@ -472,6 +472,40 @@ def address_stub(spark, sf_dir):
     return address.total(judged(spark, sf_dir, address.stub))
 
 
+NAMES_SQL = "names AS (SELECT 'province' AS kind, r_name AS name FROM region UNION ALL SELECT 'ward', n_name FROM nation UNION ALL SELECT DISTINCT 'street', c_mktsegment FROM customer)"
+#: The cheapest way over all combinations of runs of words, each compared with all names.
+FREE = f"""{CASES}, {NAMES_SQL},
+norms AS MATERIALIZED (SELECT kind, name, {NORM("name")} AS norm FROM names),
+longest AS (SELECT max(len(string_split(norm, ' '))) AS longest FROM norms),
+words AS (SELECT id, string_split({NORM("replace(text, ',', '')")}, ' ') AS w FROM cases),
+runs AS MATERIALIZED (SELECT id, lo, hi, array_to_string(w[lo + 1:hi], ' ') AS part, coalesce(list_sum(list_transform(w[lo + 1:hi], lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN 0 ELSE length(x) END)), 0)::INT AS saved
+  FROM words, longest, unnest(range(len(w))) a(lo), unnest(range(lo + 1, least(len(w), lo + longest + 1) + 1)) b(hi)),
+near AS (SELECT kind, part, name, norm, levenshtein(part, norm) AS distance FROM (SELECT DISTINCT part FROM runs), norms WHERE levenshtein(part, norm) <= least(length(part) // 4, {address.EDITS})),
+hits AS MATERIALIZED (SELECT kind, part, name, distance, length(norm) AS letters, row_number() OVER (PARTITION BY kind, part ORDER BY distance, -length(norm), name) AS k FROM near),
+found AS MATERIALIZED (SELECT id, kind, lo, hi, name, distance - saved AS cost, letters FROM runs JOIN hits USING (part) WHERE k = 1
+  UNION ALL SELECT id, kind, NULL, NULL, '', {address.MISSING}, 0 FROM cases, (SELECT unnest(['street', 'ward', 'province']) AS kind)),
+ways AS (SELECT s.id, s.name AS street, w.name AS ward, p.name AS province, s.cost + w.cost + p.cost AS cost, s.letters + w.letters + p.letters AS letters
+  FROM found s JOIN found w ON w.id = s.id AND w.kind = 'ward' AND (s.hi IS NULL OR w.lo IS NULL OR s.hi <= w.lo)
+  JOIN found p ON p.id = s.id AND p.kind = 'province' AND (w.hi IS NULL OR p.lo IS NULL OR w.hi <= p.lo) AND (s.hi IS NULL OR p.lo IS NULL OR s.hi <= p.lo) WHERE s.kind = 'street'),
+answers AS (SELECT id, nullif(province, '') AS province, nullif(ward, '') AS ward, nullif(street, '') AS street FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cost, -letters, street, ward, province) AS k FROM ways) WHERE k = 1)"""
+
+
+def without_commas(spark, sf_dir):
+    cases, names = address.cases_of(spark, sf_dir)
+    return cases.withColumn("text", F.replace("text", F.lit(","), F.lit(""))), names
+
+
+@query(f"{FREE}\nSELECT * FROM answers")
+def address_segmented(spark, sf_dir):
+    return address.segmented(*without_commas(spark, sf_dir))
+
+
+@query(f"{FREE}\nSELECT sum(" + " + ".join(f"coalesce((c.{f} = a.{f})::INT, 0)" for f in address.FIELDS) + ")::BIGINT AS correct, 3 * count(*) AS total, round(sum(" + " + ".join(f"coalesce((c.{f} = a.{f})::INT, 0)" for f in address.FIELDS) + ") * 10 / (3 * count(*)), 2) AS score FROM cases c JOIN answers a USING (id)")
+def address_segmented_judge(spark, sf_dir):
+    cases, names = without_commas(spark, sf_dir)
+    return address.total(address.judge(cases, address.segmented(cases, names)))
+
+
 class _Strict(address.FirstNames):
     """First names, and no answer for texts in which the word AMERICA occurs."""
 
