@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import divided, natural_key, no_nan, number, padded
+from ..session import kept
 from . import windows as W
 from .blocks import ROWS, in_blocks
 
@@ -40,30 +41,33 @@ def _bin(x):
     return F.when(x == 0, 0).when(x > 0, high).otherwise(-high).cast("int")
 
 
-def quantiles(df: DataFrame, keys: list[str], columns: list[str], qs: list[float]) -> DataFrame:
-    """Per key, exact quantiles with linear interpolation of each column, as arrays by its name; nulls and NaN are skipped.
+def quantiles(df: DataFrame, keys: list[str], columns: list[str], qs: list[float], rows: str | None = None) -> DataFrame:
+    """Per key, exact quantiles with linear interpolation of each column, as arrays by its name; nulls and NaN are skipped. ``rows``: a further column's name, for the number of rows of the key.
 
     The values of a key are counted in a logarithmic histogram, of bounded size whatever the key has; the bins that hold the wanted
     ranks are told from its running totals, and only these are put in order, a task having one bin. Equal values are summed up
-    before they move. A key all of whose values are null is not in the result."""
-    each = df.select(*keys, F.explode(F.array(*(F.struct(F.lit(k).alias("c"), no_nan(F.col(c).cast("double")).alias("x")) for k, c in enumerate(columns)))).alias("s")).select(*keys, "s.*").where("x is not null")
+    before they move. A column all of whose values are null has null."""
+    each = df.select(*keys, F.explode(F.array(*(F.struct(F.lit(k).alias("c"), no_nan(F.col(c).cast("double")).alias("x")) for k, c in enumerate(columns)))).alias("s")).select(*keys, "s.*")
     by = [*keys, "c"]
-    # 0 and -0 are one value
-    counts = each.select(*by, (F.col("x") + 0.0).alias("x")).withColumn("bin", _bin(F.col("x"))).groupBy(*by, "bin", "x").agg(F.count(F.lit(1)).alias("n"))
+    # 0 and -0 are one value; nulls are counted too, in a bin of their own
+    counts = each.select(*by, (F.col("x") + 0.0).alias("x")).withColumn("bin", F.when(F.col("x").isNotNull(), _bin(F.col("x"))).otherwise(-(1 << 30))).groupBy(*by, "bin", "x").agg(F.count(F.lit(1)).alias("n"))
     whole = W.Window.partitionBy(*by)
     upto = whole.orderBy("bin").rowsBetween(W.Window.unboundedPreceding, 0)
-    bins = counts.groupBy(*by, "bin").agg(F.sum("n").alias("n")).withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(whole)})
+    valid = F.when(F.col("bin") > -(1 << 30), F.col("n")).otherwise(0)
+    bins = counts.groupBy(*by, "bin").agg(F.sum("n").alias("n")).withColumns({"upto": F.sum(valid).over(upto), "all": F.sum(valid).over(whole), "rows": F.sum("n").over(whole)}).withColumn("n", valid)
     place = [(F.col("all") - 1) * q for q in qs]
     ranks = F.array(*(f(p).cast("long") for p in place for f in (F.floor, F.ceil)))
-    bins = bins.select(*by, "bin", "all", (F.col("upto") - F.col("n")).alias("first"), "upto").withColumn("ranks", ranks)
-    bins = bins.where(F.exists("ranks", lambda r: (r >= F.col("first")) & (r < F.col("upto")))).drop("upto")
+    bins = bins.select(*by, "bin", "all", "rows", (F.col("upto") - F.col("n")).alias("first"), "upto").withColumn("ranks", ranks)
+    wanted = F.exists("ranks", lambda r: (r >= F.col("first")) & (r < F.col("upto")))
+    bins = bins.where(wanted | (F.col("all") == 0)).drop("upto")
     inside = W.Window.partitionBy(*by, "bin").orderBy("x").rowsBetween(W.Window.unboundedPreceding, 0)
     found = counts.join(bins, [*by, "bin"]).withColumn("upto", F.col("first") + F.sum("n").over(inside))
     at = lambda k: F.max(F.when((F.get("ranks", F.lit(k)) < F.col("upto")) & (F.get("ranks", F.lit(k)) >= F.col("upto") - F.col("n")), F.col("x")))
-    rows = found.groupBy(*by).agg(F.max("all").alias("all"), *(at(k).alias(f"v{k}") for k in range(2 * len(qs))))
+    picked = found.groupBy(*by).agg(F.max("all").alias("all"), F.max("rows").alias("rows"), *(at(k).alias(f"v{k}") for k in range(2 * len(qs))))
     mixed = [F.when(F.col(f"v{2 * k}") == F.col(f"v{2 * k + 1}"), F.col(f"v{2 * k}")).otherwise(F.col(f"v{2 * k}") + (F.col(f"v{2 * k + 1}") - F.col(f"v{2 * k}")) * (p - F.floor(p))) for k, p in enumerate(place)]
-    own = rows.select(*by, F.array(*mixed).alias("q"))
-    return own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"), *(F.max(F.when(F.col("c") == k, F.col("q"))).alias(c) for k, c in enumerate(columns))).drop("_c")
+    own = picked.select(*by, "rows", F.when(F.col("all") > 0, F.array(*mixed)).alias("q"))
+    out = own.groupBy(*keys).agg(F.max("rows").alias("_rows"), *(F.max(F.when(F.col("c") == k, F.col("q"))).alias(c) for k, c in enumerate(columns)))
+    return out.withColumnRenamed("_rows", rows) if rows else out.drop("_rows")
 
 
 def evaluate(pred: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -71,9 +75,9 @@ def evaluate(pred: DataFrame, key: list[str] | None = None) -> DataFrame:
     return scored(errors(pred, key), key or ["stk"])
 
 
-def evaluate_forecasts(pred: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """The same for forecasts (key, i, p, y_pred), their targets being the returns of p."""
-    return scored(pairs(pred, key).withColumn("e", F.col("f") - F.col("y")), key or ["stk"])
+def evaluate_forecasts(pred: DataFrame, key: list[str] | None = None, zero: float | None = 0.0) -> DataFrame:
+    """The same for forecasts (key, i, p, y_pred), their targets being the returns of p. ``zero``: as in ``scored``."""
+    return scored(pairs(pred, key).withColumn("e", F.col("f") - F.col("y")), key or ["stk"], zero)
 
 
 def _size(c):
@@ -82,8 +86,7 @@ def _size(c):
 
 def scored(found: DataFrame, key: list[str], zero: float | None = 0.0) -> DataFrame:
     """``evaluate`` from errors e and targets f. ``zero``: rel where base is 0; None: the quotient there too, by IEEE rules."""
-    sized = found.select(*key, F.abs("e").alias("qe"), F.abs("f").alias("qf"))
-    out = sized.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(quantiles(sized, key, ["qe", "qf"], [0.5, 0.9]), key, "left")
+    out = quantiles(kept(found.select(*key, F.abs("e").alias("qe"), F.abs("f").alias("qf"))), key, ["qe", "qf"], [0.5, 0.9], "n")
     return _rated(out.select(*key, "n", _size("qf").alias("base"), _size("qe").alias("abs")), zero)
 
 
@@ -94,19 +97,18 @@ def _rated(out: DataFrame, zero: float | None = 0.0) -> DataFrame:
 
 def swept(pred: DataFrame, name: str, values: list[float], y: Callable, keep: tuple[str, ...] = ()) -> DataFrame:
     """Scores per (``name``, stk): forecasts (stk, i, p, y_pred) are made and shifted once; ``y(value)`` over y and ``keep`` is what each value makes of them."""
-    found = pairs(pred, None, keep)
-    each = found.select("stk", "f", F.explode(F.array(*(F.struct(F.lit(v).alias(name), (F.col("f") - y(F.lit(v))).alias("e")) for v in values))).alias("s")).select("stk", "f", "s.*")
-    key = [name, "stk"]
-    sizes = quantiles(each.select(*key, F.abs("e").alias("qe")), key, ["qe"], [0.5, 0.9])
-    base = quantiles(found.select("stk", F.abs("f").alias("qf")), ["stk"], ["qf"], [0.5, 0.9])
-    n = found.groupBy("stk").agg(F.count(F.lit(1)).alias("n"))
-    rows = n.select("stk", "n", F.explode(F.array(*map(F.lit, values))).alias(name))
-    return _rated(rows.join(base, "stk", "left").join(sizes, key, "left").select(*key, "n", _size("qf").alias("base"), _size("qe").alias("abs")))
+    found, f = kept(pairs(pred, None, keep)), F.col("f")
+    # the targets themselves are one more set of values
+    each = F.explode(F.array(F.struct(F.lit(None).cast("double").alias(name), F.abs(f).alias("q")), *(F.struct(F.lit(float(v)).alias(name), F.abs(f - y(F.lit(v))).alias("q")) for v in values))).alias("s")
+    sizes = quantiles(found.select("stk", each).select("stk", "s.*"), ["stk", name], ["q"], [0.5, 0.9], "n")
+    # a row per value and key from here on
+    base = F.max(F.when(F.col(name).isNull(), _size("q"))).over(W.Window.partitionBy("stk"))
+    return _rated(sizes.withColumn("base", base).where(F.col(name).isNotNull()).select(name, "stk", "n", "base", _size("q").alias("abs")))
 
 
 def summary(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per method: median and mean of abs and rel, and the share of keys with rel > 0 in percent."""
-    by = by or ["method"]
+    by, scores = by or ["method"], kept(scores)
     means = scores.groupBy(*by).agg(F.avg("abs").alias("mean_abs"), F.avg("rel").alias("mean_rel"), F.avg(F.when(F.col("rel") > 0, 100.0).otherwise(0.0)).alias("pct_rel_pos"))
     middle = quantiles(scores, by, ["abs", "rel"], [0.5]).select(*by, F.col("abs")[0].alias("median_abs"), F.col("rel")[0].alias("median_rel"))
     return means.join(middle, by, "left").select(*by, "median_abs", "mean_abs", "median_rel", "mean_rel", "pct_rel_pos")

@@ -47,6 +47,8 @@ def _last_split(gains: list[np.ndarray]) -> tuple[int, int]:
 
 def boosted(x: np.ndarray, y: np.ndarray, new: np.ndarray, rounds: int, rate: float, depth: int, leaves: int, least: int, seed: list[int]) -> np.ndarray:
     """Forecasts for the rows ``new`` by trees fitted on x and y."""
+    if leaves < (1 << depth) - 1:
+        raise ValueError("of a full tree, one split at most can be left out")
     g = np.random.default_rng(seed)
     n, d = x.shape
     codes, bins = binned(x, new)

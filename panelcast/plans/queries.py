@@ -13,8 +13,9 @@ from ..operators import address, explore, ridge, score
 from ..operators import features as feats
 from ..operators import windows as W
 from ..operators.blocks import in_blocks
+from ..session import shared_dir
 from . import registry as R
-from . import ridge_sql
+from . import ridge_sql, runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -217,6 +218,12 @@ def score_ma(spark, sf_dir):
     return six(score.evaluate_forecasts(R.METHODS["ma_reversion"](bars_of(spark, sf_dir))))
 
 
+@query(scored_sql(MA) + "\nSELECT stk, n, round(base, 6) AS base, round(abs, 6) AS abs, round(1 - abs / base, 6) AS rel FROM scores")
+def score_ma_ieee(spark, sf_dir):
+    """The first rule: no case for a base of 0."""
+    return six(score.evaluate_forecasts(R.METHODS["ma_reversion"](bars_of(spark, sf_dir)), zero=None))
+
+
 @query(scored_sql("0.0") + f"\nSELECT stk, n, {S6} FROM scores")
 def score_zero(spark, sf_dir):
     return six(score.evaluate_forecasts(R.METHODS["zero"](bars_of(spark, sf_dir))))
@@ -312,6 +319,26 @@ def explore_panel(spark, sf_dir):
     return six(explore.panel_table(bars_of(spark, sf_dir)))
 
 
+PANEL = f"{VIEW}, panel AS (SELECT stk, CASE WHEN count(*) > 60 THEN corr(diff, acc) FILTER (i >= 50) END AS corr_diff_acc, corr(g, w) AS corr_g_w FROM view GROUP BY stk)"
+
+
+@query(f"{PANEL}\nSELECT round(median(corr_diff_acc), 6) AS corr_diff_acc, round(median(corr_g_w), 6) AS corr_g_w FROM panel")
+def explore_medians(spark, sf_dir):
+    """The row below the panel table: medians over the keys."""
+    return six(explore.medians(explore.panel_table(bars_of(spark, sf_dir))))
+
+
+POINTS = 200
+
+
+@query(f"""{BARS}, b AS (SELECT stk, i, p, (i * {POINTS // 2}) // count(*) OVER (PARTITION BY stk) AS bucket FROM bars),
+e AS (SELECT stk, bucket, arg_min(i, [p, i]) AS low, arg_max(i, [p, -i]) AS high FROM b GROUP BY stk, bucket)
+SELECT DISTINCT stk, i, round(p, 6) AS p FROM b JOIN e USING (stk, bucket) WHERE i IN (low, high)""")
+def plotted_line(spark, sf_dir):
+    """What a line plot of each key's price shows at this many points: the extremes of equal stretches."""
+    return six(explore.extremes(bars_of(spark, sf_dir), "p", POINTS))
+
+
 @query(f"{VIEW}, o AS (SELECT w_g FROM view WHERE w_g IS NOT NULL AND i >= 50), ends AS (SELECT min(w_g) AS lo, max(w_g) AS hi FROM o)\nSELECT CAST(least(floor((w_g - lo) / (hi - lo) * 10) + 1, 10) AS INT) AS bin, round(lo + (hi - lo) / 10 * (CAST(least(floor((w_g - lo) / (hi - lo) * 10) + 1, 10) AS INT) - 1), 6) AS low, round(lo + (hi - lo) / 10 * CAST(least(floor((w_g - lo) / (hi - lo) * 10) + 1, 10) AS INT), 6) AS high, count(*) AS n FROM o, ends GROUP BY ALL")
 def ratio_hist(spark, sf_dir):
     return six(score.histogram(explore.growth_view(bars_of(spark, sf_dir)).where("i >= 50").select(no_nan(C("w_g")).alias("w_g")), "w_g"))
@@ -434,6 +461,24 @@ def pred_gbt(spark, sf_dir):
     return six(R.gbt(bars_of(spark, sf_dir)).select("stk", "i", "y_pred"))
 
 
+# --- runs whose results are kept --------------------------------------------------------------------------------------
+
+
+def kept_run(run: str, shape: Callable) -> Callable:
+    """A run over the bars, its store in the shared folder: methods that an earlier run over the same bars had are not fitted again."""
+
+    def make(spark, sf_dir):
+        store = runs.Store(spark, f"{shared_dir(spark)}/panelcast-runs")
+        return six(shape(store.run(bars_of(spark, sf_dir), list(runs.RUNS[run].values())), run))
+
+    return make
+
+
+for _run in runs.RUNS:
+    query(name=f"run_{_run}")(kept_run(_run, runs.table))
+    query(name=f"run_{_run}_wide")(kept_run(_run, runs.wide))
+
+
 # --- addresses --------------------------------------------------------------------------------------------------------
 
 CASES = """WITH c AS (SELECT c_custkey AS id, c_mktsegment, n_name, r_name, c_custkey % length(n_name) AS cut FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),

@@ -86,7 +86,7 @@ def test_quantiles(spark):
     rows = [(k, float(v), float(-v)) for k, x in sets.items() for v in x] + [("normal", float("nan"), None), ("none", None, None), ("half", 2.0, None)]
     qs = [0.0, 0.1, 0.5, 0.9, 1.0]
     got = {r.stk: r for r in score.quantiles(spark.createDataFrame(rows, "stk string, x double, y double"), ["stk"], ["x", "y"], qs).collect()}
-    assert set(got) == {*sets, "half"} and got["half"].y is None and got["half"].x == [2.0] * 5
+    assert set(got) == {*sets, "half", "none"} and got["half"].y is None and got["half"].x == [2.0] * 5 and got["none"].x is None
     for k, x in sets.items():
         for name, sign in (("x", 1), ("y", -1)):
             with np.errstate(invalid="ignore"):
