@@ -61,9 +61,10 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     whole = np.add.reduceat(codes * (np.arange(len(codes), dtype=np.uint64) - np.repeat(starts, lengths).astype(np.uint64) + np.uint64(7)) ** np.uint64(5), starts)
     rows, owners = [_mix(whole)], [np.arange(len(words))]
     for n in GRAMS:
-        h = np.full(len(codes) - n + 1 if len(codes) >= n else 0, n, np.uint64)
+        count = max(len(codes) - n + 1, 0)
+        h = np.full(count, n, np.uint64)
         for j in range(n):
-            h += codes[j : len(codes) - n + 1 + j] * _MULTIPLIERS[j]
+            h += codes[j : count + j] * _MULTIPLIERS[j]
         ok = left[: len(h)] >= n
         rows.append(_mix(h[ok]) + BUCKETS)
         owners.append(owner[: len(h)][ok])
@@ -278,9 +279,10 @@ class Scorer:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     chosen = sampled(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels, "toxic", fold(3) != 1, sample, balance=True)
-    rows = sorted((r.doc_id, r.text, r.y) for r in chosen.select("doc_id", "text", "y").collect())
-    rows = [(words_of(t), y) for _, t, y in rows]
-    rows = [(w, y) for w, y in rows if w]
+    # a text at a time reaches the driver, and what stays of it are references to words that all texts share
+    shared: dict[str, str] = {}
+    rows = [(r.doc_id, [shared.setdefault(w, w) for w in words_of(r.text)], r.y) for r in chosen.select("doc_id", "text", "y").coalesce(8).toLocalIterator()]
+    rows = [(w, y) for _, w, y in sorted(rows, key=lambda r: r[0]) if w]
     network, y = Network(), np.array([y for _, y in rows], np.float32)
     if len(set(y.tolist())) < 2:
         network.constant = float(y.mean()) if len(y) else 0.0

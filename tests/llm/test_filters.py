@@ -423,3 +423,42 @@ def test_repeated_rows_score_alike(spark):
         for r in module.score(docs(spark, rows), labels).where("doc_id is null or doc_id < 10").collect():
             got[r.doc_id].append(r.score)
         assert len(got[1]) == len(got[None]) == 2 and len(set(got[1])) == len(set(got[None])) == 1 and len(got[2]) == 1
+
+
+def test_network_score_by_loops():
+    """Scores of whole texts by loops over windows, steps, directions and units, one number at a time."""
+    import math
+
+    from panelcast.llm.toxicity import HIDDEN, STRIDE, WINDOW, Network, Scorer, features, words_of
+
+    network, g = Network(3), np.random.default_rng(2)
+    p = {k: v.astype(float).tolist() for k, v in network.p.items()}
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    words = ["alpha", "be", "Gamma!", "x", "delta9", "é", "w" * 450]
+    texts = [" ".join(g.choice(words[:6], n)) for n in (1, 2, 31, 32, 33, 48, 75)] + ["w" * 450, ""]
+
+    def gates(word):
+        rows, _, weight = features([word])
+        e = [sum(p["e"][r][d] * float(w) for r, w in zip(rows, weight, strict=True)) for d in range(len(p["wx"]))]
+        return [p["bx"][k] + sum(e[d] * p["wx"][d][k] for d in range(len(e))) for k in range(6 * HIDDEN)]
+
+    def logit(window):
+        states = [[0.0] * (2 * HIDDEN) for _ in window]
+        for side, order in ((0, range(len(window))), (1, range(len(window) - 1, -1, -1))):
+            h = [0.0] * HIDDEN
+            for t in order:
+                x = window[t][3 * HIDDEN * side : 3 * HIDDEN * (side + 1)]
+                a = [sum(h[j] * p["u"][side][j][k] for j in range(HIDDEN)) for k in range(3 * HIDDEN)]
+                z, r = ([sig(x[k] + a[k]) for k in range(o, o + HIDDEN)] for o in (0, HIDDEN))
+                c = [math.tanh(x[2 * HIDDEN + k] + r[k] * a[2 * HIDDEN + k]) for k in range(HIDDEN)]
+                h = [c[k] + z[k] * (h[k] - c[k]) for k in range(HIDDEN)]
+                states[t][HIDDEN * side : HIDDEN * (side + 1)] = h
+        weight = [math.exp(sum(s * q for s, q in zip(state, p["q"], strict=True))) for state in states]
+        pooled = [sum(w * state[k] for w, state in zip(weight, states, strict=True)) / sum(weight) for k in range(2 * HIDDEN)]
+        return p["b"][0] + sum(a * b for a, b in zip(pooled, p["w"], strict=True))
+
+    got = Scorer(network).score(texts)
+    for text, score in zip(texts, got, strict=True):
+        own = [gates(w) for w in words_of(text)]
+        starts = [0] if len(own) <= WINDOW else [*range(0, len(own) - WINDOW, STRIDE), len(own) - WINDOW]
+        assert score == pytest.approx(sig(max(logit(own[s : s + WINDOW]) for s in starts)) if own else 0.0, abs=1e-5)
