@@ -324,8 +324,8 @@ def predict_pooled(feats: DataFrame, plan: Plan | None = None, key: str = "stk")
     plan = plan or Plan(refit=20)
     fit_t = F.when(F.col("i") >= plan.warm, plan.warm + F.floor((F.col("i") - plan.warm) / plan.refit) * plan.refit).cast("int")
     x = F.array(*NAMES)
-    # one row per refit: a series of a million rows has 50,000
-    models = F.broadcast(pooled_models(feats, plan, key))
+    # one row per refit; whether that is small enough to be broadcast is Spark's to see
+    models = pooled_models(feats, plan, key)
     terms = F.zip_with(F.zip_with(x, F.col("mu"), lambda a, b: a - b), F.zip_with(F.col("beta"), F.col("sd"), lambda a, b: a / b), lambda a, b: a * b)
     raw = F.col("b0") + F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
     out = feats.withColumn("fit_t", fit_t).join(models, "fit_t", "left").withColumn("raw", F.coalesce(raw, F.lit(0.0)))
