@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import EPS, clip
+from ..session import kept
 from . import windows as W
 from .blocks import ROWS, in_blocks, spread
 from .features import HALO, NAMES, NAMES5, features_of
@@ -190,8 +191,30 @@ def predict_many(bars: DataFrame, plans: dict[str, Plan], key: str = "stk", bloc
         raise ValueError("one warm-up for all, and blocks of whole refit intervals")
     warm, wins, ways = next(iter(plans.values())).warm, [p.win for p in plans.values() if p.win], _clips(plans)
     keys = [key, "_b"]
-    rows = spread(bars.select(key, "i", "p", "v"), "i", HALO + max(wins, default=0) + 1, 0, block, warm)
+    bars = kept(bars.select(key, "i", "p", "v"))
+    rows = spread(bars, "i", HALO + max(wins, default=0) + 1, 0, block, warm)
     feats = features_of(rows, keys)
+    columns = ["method", key, "i", "p", "vol20", "raw", "y_pred"]
+    ddl = f"method string, {key} string, i int, p double, vol20 double, raw double, y_pred double"
+
+    def forecast(pdf: pd.DataFrame, known: dict) -> pd.DataFrame:
+        pdf, own, raws = _forecasts(pdf, known, plans, block)
+        i, vol = pdf.i.to_numpy()[own:], pdf.vol20.to_numpy(float)[own:]
+        out = []
+        for name, raw in raws.items():
+            plan, raw = plans[name], raw[own:]
+            if plan.ratio is None:
+                y = raw * plan.shrink
+            else:
+                wide, after = np.ones(len(raw)), int(np.searchsorted(i, warm))
+                wide[after:] = _expanding(raw[after:], known.get(name))
+                y = raw * plan.ratio * vol / wide
+            y = np.where(i < warm, 0.0, np.clip(y, -plan.clip, plan.clip))
+            out.append(pd.DataFrame({"method": name, key: pdf[key].iloc[own:], "i": i, "p": pdf.p.iloc[own:], "vol20": vol, "raw": raw, "y_pred": y}))
+        return pd.concat(out) if out else pd.DataFrame(columns=columns)
+
+    if (bars.agg(F.max("i")).first()[0] or 0) < warm + block:  # no key has a second block
+        return feats.groupBy(*keys).applyInPandas(lambda pdf: forecast(pdf, {}), ddl)
     # blocks that others follow, which have rows to be scanned for these; the filter comes before the features
     last = F.max("i").over(Window.partitionBy(*keys))
     full = features_of(rows.withColumn("_last", last).where(F.col("_last") >= warm + (F.col("_b") + 1) * block - 1), keys)
@@ -222,26 +245,9 @@ def predict_many(bars: DataFrame, plans: dict[str, Plan], key: str = "stk", bloc
         prior = prior.unionByName(_scan(spread_, key, _merged_spread))
 
     def run(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        columns = ["method", key, "i", "p", "vol20", "raw", "y_pred"]
-        if not len(pdf):
-            return pd.DataFrame(columns=columns)
-        known = dict(zip(known.kind, known.v, strict=True))
-        pdf, own, raws = _forecasts(pdf, known, plans, block)
-        i, vol = pdf.i.to_numpy()[own:], pdf.vol20.to_numpy(float)[own:]
-        out = []
-        for name, raw in raws.items():
-            plan, raw = plans[name], raw[own:]
-            if plan.ratio is None:
-                y = raw * plan.shrink
-            else:
-                wide, after = np.ones(len(raw)), int(np.searchsorted(i, warm))
-                wide[after:] = _expanding(raw[after:], known.get(name))
-                y = raw * plan.ratio * vol / wide
-            y = np.where(i < warm, 0.0, np.clip(y, -plan.clip, plan.clip))
-            out.append(pd.DataFrame({"method": name, key: pdf[key].iloc[own:], "i": i, "p": pdf.p.iloc[own:], "vol20": vol, "raw": raw, "y_pred": y}))
-        return pd.concat(out) if out else pd.DataFrame(columns=columns)
+        return forecast(pdf, dict(zip(known.kind, known.v, strict=True))) if len(pdf) else pd.DataFrame(columns=columns)
 
-    return feats.groupBy(*keys).cogroup(prior.groupBy(*keys)).applyInPandas(run, f"method string, {key} string, i int, p double, vol20 double, raw double, y_pred double")
+    return feats.groupBy(*keys).cogroup(prior.groupBy(*keys)).applyInPandas(run, ddl)
 
 
 def predict(bars: DataFrame, plan: Plan, key: str = "stk", block: int = ROWS) -> DataFrame:

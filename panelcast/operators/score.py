@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ def errors(pred: DataFrame, key: list[str] | None = None) -> DataFrame:
 
 #: Histogram bins in an octave of values.
 BINS = 256
+#: Rows of a key up to which its values fit a buffer of a task, so that one aggregation sorts them.
+FEW = 1 << 18
 
 
 def _bin(x):
@@ -44,9 +48,14 @@ def _bin(x):
 def quantiles(df: DataFrame, keys: list[str], columns: list[str], qs: list[float], rows: str | None = None) -> DataFrame:
     """Per key, exact quantiles with linear interpolation of each column, as arrays by its name; nulls and NaN are skipped. ``rows``: a further column's name, for the number of rows of the key.
 
-    The values of a key are counted in a logarithmic histogram, of bounded size whatever the key has; the bins that hold the wanted
+    ``df`` is read several times: keep it first. Keys of at most ``FEW`` rows have their values sorted in a buffer. If there is a
+    larger one, the values of a key are counted in a logarithmic histogram, of bounded size whatever the key has; the bins that hold the wanted
     ranks are told from its running totals, and only these are put in order, a task having one bin. Equal values are summed up
     before they move. A column all of whose values are null has null."""
+    count = F.count(F.lit(1))
+    if (df.groupBy(*keys).agg(count.alias("n")).agg(F.max("n")).first()[0] or 0) <= FEW:
+        at = F.array(*map(F.lit, qs))
+        return df.groupBy(*keys).agg(*([count.alias(rows)] if rows else []), *(F.percentile(no_nan(F.col(c).cast("double")), at).alias(c) for c in columns)).select(*keys, *([rows] if rows else []), *columns)
     each = df.select(*keys, F.explode(F.array(*(F.struct(F.lit(k).alias("c"), no_nan(F.col(c).cast("double")).alias("x")) for k, c in enumerate(columns)))).alias("s")).select(*keys, "s.*")
     by = [*keys, "c"]
     # 0 and -0 are one value; nulls are counted too, in a bin of their own
@@ -61,13 +70,16 @@ def quantiles(df: DataFrame, keys: list[str], columns: list[str], qs: list[float
     wanted = F.exists("ranks", lambda r: (r >= F.col("first")) & (r < F.col("upto")))
     bins = bins.where(wanted | (F.col("all") == 0)).drop("upto")
     inside = W.Window.partitionBy(*by, "bin").orderBy("x").rowsBetween(W.Window.unboundedPreceding, 0)
-    found = counts.join(bins, [*by, "bin"]).withColumn("upto", F.col("first") + F.sum("n").over(inside))
+    # a null key is a key
+    bins = bins.withColumnsRenamed({b: f"_k_{b}" for b in [*by, "bin"]})
+    equal = reduce(and_, (F.equal_null(F.col(b), F.col(f"_k_{b}")) for b in [*by, "bin"]))
+    found = counts.join(bins, equal).withColumn("upto", F.col("first") + F.sum("n").over(inside))
     at = lambda k: F.max(F.when((F.get("ranks", F.lit(k)) < F.col("upto")) & (F.get("ranks", F.lit(k)) >= F.col("upto") - F.col("n")), F.col("x")))
     picked = found.groupBy(*by).agg(F.max("all").alias("all"), F.max("rows").alias("rows"), *(at(k).alias(f"v{k}") for k in range(2 * len(qs))))
     mixed = [F.when(F.col(f"v{2 * k}") == F.col(f"v{2 * k + 1}"), F.col(f"v{2 * k}")).otherwise(F.col(f"v{2 * k}") + (F.col(f"v{2 * k + 1}") - F.col(f"v{2 * k}")) * (p - F.floor(p))) for k, p in enumerate(place)]
     own = picked.select(*by, "rows", F.when(F.col("all") > 0, F.array(*mixed)).alias("q"))
     out = own.groupBy(*keys).agg(F.max("rows").alias("_rows"), *(F.max(F.when(F.col("c") == k, F.col("q"))).alias(c) for k, c in enumerate(columns)))
-    return out.withColumnRenamed("_rows", rows) if rows else out.drop("_rows")
+    return out.select(*keys, *([F.col("_rows").alias(rows)] if rows else []), *columns)
 
 
 def evaluate(pred: DataFrame, key: list[str] | None = None) -> DataFrame:

@@ -80,13 +80,15 @@ def test_expanding_std_far_from_zero(spark):
     assert np.allclose(got.s[60:], [x[60 : k + 1].std() + 1e-12 for k in range(60, 300)], rtol=1e-6, atol=1e-9)
 
 
-def test_quantiles(spark):
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_quantiles(spark, monkeypatch, few):
+    monkeypatch.setattr(score, "FEW", few)
     g = np.random.default_rng(2)
     sets = {"normal": g.normal(size=501), "ties": g.integers(0, 3, 200).astype(float), "one": np.array([3.5]), "two": np.array([-1.0, 4.0]), "wide": np.concatenate([g.normal(size=50) * 10.0 ** g.integers(-300, 300, 50), [0.0, -0.0, 5e-324, 1.7e308]]), "infinite": np.array([-np.inf, 1.0, np.inf, np.inf]), "near": 1 + g.normal(size=100) * 1e-15}
-    rows = [(k, float(v), float(-v)) for k, x in sets.items() for v in x] + [("normal", float("nan"), None), ("none", None, None), ("half", 2.0, None)]
+    rows = [(k, float(v), float(-v)) for k, x in sets.items() for v in x] + [("normal", float("nan"), None), ("none", None, None), ("half", 2.0, None), (None, 1.0, 3.0), (None, 2.0, 5.0)]
     qs = [0.0, 0.1, 0.5, 0.9, 1.0]
     got = {r.stk: r for r in score.quantiles(spark.createDataFrame(rows, "stk string, x double, y double"), ["stk"], ["x", "y"], qs).collect()}
-    assert set(got) == {*sets, "half", "none"} and got["half"].y is None and got["half"].x == [2.0] * 5 and got["none"].x is None
+    assert set(got) == {*sets, "half", "none", None} and got[None].x[2] == 1.5 and got[None].y[4] == 5 and got["half"].y is None and got["half"].x == [2.0] * 5 and got["none"].x is None
     for k, x in sets.items():
         for name, sign in (("x", 1), ("y", -1)):
             with np.errstate(invalid="ignore"):
@@ -101,8 +103,10 @@ def test_zero_base(spark):
     assert score.scored(score.pairs(df).withColumn("e", F.col("f") - F.col("y")), ["stk"], zero=None).first().rel == float("-inf")
 
 
-def test_sweeps_shift_once(panel):
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_sweeps_shift_once(panel, monkeypatch, few):
     """A sweep equals the scores of each value's own forecasts, and no window runs over its rows."""
+    monkeypatch.setattr(score, "FEW", few)
     pred = R.METHODS["ma_reversion"](panel)
     got = R.shrink_sweep(pred, 1.0, [0.1, 0.5], 0.02)
     for v in (0.1, 0.5):
