@@ -128,7 +128,7 @@ def summary(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Doubles rounded half to even, as result files hold them."""
-    return df.select(*(F.bround(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*(F.bround(f"`{c}`", digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
 
 
 def against_baseline(summary_: DataFrame, baseline: str, round_first: bool = True) -> DataFrame:

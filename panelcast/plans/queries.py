@@ -33,7 +33,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def six(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*(F.round(f"`{c}`", 6).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
 
 
 def bars_of(spark: SparkSession, sf_dir: str) -> DataFrame:

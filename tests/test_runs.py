@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcast import sources
-from panelcast.operators import explore, trees
+from panelcast.operators import explore, score, trees
 from panelcast.plans import registry as R
 from panelcast.plans import runs
 
@@ -62,6 +62,8 @@ def test_run_tables(spark, tmp_path):
     got = {r.method: r for r in runs.table(scores, "improvements").collect()}
     assert set(got) == {"M0_base", "M1_poolridge", "M2_blend", "M3_signcons", "M5_tight"} and got["M0_base"].d_median_rel == 0
     assert got["M2_blend"].d_mean_abs == pytest.approx(got["M2_blend"].mean_abs - got["M0_base"].mean_abs)
+    other = runs.wide(scores.where("method = 'baseline_v2'"), "experiments")
+    assert {"abs_I2_vol_r0.10", "rel_ALL_r120_v0.20"} <= set(score.rounded(other).columns) and score.rounded(other).count() == 3
     assert runs.wide(scores, "improvements").count() == 3 and {"abs_M0_base", "rel_M8_poollgbm"} <= set(runs.wide(scores, "improvements").columns)
 
 
