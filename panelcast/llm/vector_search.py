@@ -3,10 +3,10 @@
 The rows are dealt into shards by a hash of their id; a shard holds about ``bytes`` bytes of vectors, so larger tables have more
 shards, not larger ones. Each shard's graph is built by batches of insertions: a greedy beam search over the graph so far proposes
 neighbours; pruning keeps the nearest one and drops those that are closer to it, by the factor ``alpha``, than to the point, and
-so on, so that the kept edges are few and diverse; the edges' reverses are added and pruned alike. Queries go to every shard in
-blocks of ``block``, so a graph is sent once per block of many queries and searched by a few hundred of them at a time; a beam
-search finds candidates, whose cosines are then computed in double precision on the original vectors; the best of all shards
-are the answer.
+so on, so that the kept edges are few and diverse; the edges' reverses are added and pruned alike. Every query goes to every
+shard. A task reads a shard's graph once and then streams up to ``block`` queries past it, a few hundred at a time, so it holds
+one graph and one Arrow batch of queries, however many there are; a beam search finds candidates, whose cosines are then computed
+in double precision on the original vectors; the best of all shards are the answer.
 
 Equal vectors are one node, so a vector that is very common cannot clog the graph; all ids of a node are answers.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, batch, stored
 
-BYTES, BLOCK, DEGREE, BUILD_BEAM, BEAM, ALPHA, K = 16 << 20, 16_384, 32, 64, 192, 1.2, 5
+BYTES, BLOCK, DEGREE, BUILD_BEAM, BEAM, ALPHA, K = 16 << 20, 262_144, 32, 64, 192, 1.2, 5
 #: Queries that walk a graph at a time, and nodes that each of them expands in a step.
 WALK, EXPAND = 256, 4
 
@@ -156,11 +156,17 @@ def make_shard(ids: np.ndarray, vectors: np.ndarray) -> dict:
     return {"vectors": distinct, "ids": ids[order], "ends": np.cumsum(np.bincount(back.ravel(), minlength=len(distinct))), "links": links, "start": start}
 
 
+def opened(graph: bytes) -> dict:
+    """A stored shard, with its unit vectors in double and single precision."""
+    shard = pickle.loads(graph)
+    unit = _unit(shard["vectors"])
+    return shard | {"unit": unit, "small": unit.astype(np.float32)}
+
+
 def search_shard(shard: dict, qids: np.ndarray, q: np.ndarray, k: int, beam: int) -> list[tuple]:
     """(query_id, vec_id, score) of the k nearest found in this shard for each query."""
-    unit, uq = _unit(shard["vectors"]), _unit(q)
-    small, out = unit.astype(np.float32), []
-    found = np.concatenate([beam_search(small, shard["links"], shard["start"], uq[a : a + WALK].astype(np.float32), beam)[0] for a in range(0, len(q), WALK)])
+    unit, uq, out = shard["unit"], _unit(q), []
+    found = beam_search(shard["small"], shard["links"], shard["start"], uq.astype(np.float32), beam)[0]
     for i in range(len(q)):
         nodes = found[i][found[i] >= 0]
         own = []
@@ -203,21 +209,35 @@ def nearest(embeddings: DataFrame, is_query, k: int = K, bytes: int = BYTES, blo
     dealt = usable.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"))
     graphs = stored(dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(make, graph_ddl), "graphs")
     asked = usable.where("asks").groupBy("vec_id").agg(F.min(F.struct(F.size("v").alias("dim"), "v")).alias("s")).select("vec_id", "s.*")
-    # each block holds about ``block`` queries, however many there are
-    asked = asked.groupBy(F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int").alias("block"), "dim").agg(F.collect_list("vec_id").alias("q_ids"), F.collect_list("v").alias("q"))
-    work = graphs.select("shard", "dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    # a task per shard and block: what it reads is bounded by the sizes of both
-    work = work.join(asked, ["block", "dim"]).join(graphs, ["shard", "dim"]).repartition(shards * blocks, "shard", "block")
+    # a task for each shard and share of the queries; the graph comes first, then the queries, one row each
+    task = lambda share: (F.col("shard") * blocks + share).cast("int").alias("task")
+    shares = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("share")
+    first = graphs.select("shard", "dim", "graph", shares).select(task(F.col("share")), "dim", "graph", F.lit(None).cast("long").alias("q_id"), F.lit(None).cast("array<double>").alias("q"))
+    sent = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    sent = sent.select(task(F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks))), "dim", F.lit(None).cast("binary").alias("graph"), F.col("vec_id").alias("q_id"), F.col("v").alias("q"))
+    work = first.unionByName(sent).repartitionById(shards * blocks, "task").sortWithinPartitions("task", "dim", F.col("graph").isNull())
     out_ddl = "query_id long,vec_id long,score double"
     schema = arrow_schema(out_ddl)
 
     def search(batches):
+        at, shard = None, None
         for b in batches:
-            for i in range(b.num_rows):
-                q_ids, q, graph = (b.column(c)[i].as_py() for c in range(3))
-                if rows := search_shard(pickle.loads(graph), np.array(q_ids), np.array(q), k, beam):
-                    yield batch(schema, list(zip(*rows, strict=True)))
-
-    found = work.select("q_ids", "q", "graph").mapInArrow(search, out_ddl)
+            place = np.stack([b.column(c).to_numpy() for c in (0, 1)], 1)
+            heads = np.flatnonzero(np.asarray(b.column(2).is_valid())).tolist()
+            # stretches of the batch that a graph opens; the first may go on with the graph before
+            starts = heads if heads[:1] == [0] else [0, *heads]
+            for low, high in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                if low in heads:
+                    at, shard = place[low].copy(), opened(b.column(2)[low].as_py())
+                    low += 1
+                # queries of a length that no vector of the shard has come without a graph
+                many = int((place[low:high] == at).all(1).sum()) if shard else 0
+                for j in range(low, low + many, WALK):
+                    part = b.slice(j, min(WALK, low + many - j))
+                    q = part.column(4).flatten().to_numpy().reshape(part.num_rows, -1)
+                    if rows := search_shard(shard, part.column(3).to_numpy(), q, k, beam):
+                        yield batch(schema, list(zip(*rows, strict=True)))
+
+    found = work.mapInArrow(search, out_ddl).select("query_id", "vec_id", "score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
