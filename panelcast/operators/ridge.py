@@ -255,25 +255,51 @@ def predict(bars: DataFrame, plan: Plan, key: str = "stk", block: int = ROWS) ->
     return predict_many(bars, {"one": plan}, key, block).select(key, "i", "p", "raw", "y_pred")
 
 
-def online5(feats: DataFrame, h: int = 5, lam: float = 0.01, most: float = 0.07, key: str = "stk") -> DataFrame:
-    """The first model: five raw features, refitted every row, all but the intercept penalised; a rule before the warm-up."""
+def online5(feats: DataFrame, h: int = 5, lam: float = 0.01, most: float = 0.07, key: str = "stk", block: int = ROWS) -> DataFrame:
+    """The first model: five raw features, refitted every row, all but the intercept penalised; a rule before the warm-up.
+
+    Long keys run in blocks with a halo of one row; the products summed in a block are scanned along the key."""
     warm = max(30, h + 5)
+    penalty = np.diag([0.0] + [lam] * len(NAMES5))
+    d = len(penalty)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def products(a: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """A row per pair (features of a row, return of the next): the products of the features with each other, then with the return."""
+        return np.hstack([(a[:-1, :, None] * a[:-1, None, :]).reshape(-1, d * d), a[:-1] * r[1:, None]])
+
+    def read(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
         pdf = pdf.sort_values("i")
-        x, r = pdf[NAMES5].to_numpy(float), pdf.r.to_numpy(float)
-        a = np.hstack([np.ones((len(x), 1)), x])
-        out = 0.5 * x[:, 0] - 0.5 * x[:, 1]
-        penalty = np.diag([0.0] + [lam] * x.shape[1])
-        g, b = np.zeros((6, 6)), np.zeros(6)
-        for t in range(1, len(x)):
-            g += np.outer(a[t - 1], a[t - 1])
-            b += a[t - 1] * r[t]
-            if t >= warm:
-                out[t] = a[t] @ np.linalg.solve(g + penalty, b)
-        return pd.DataFrame({key: pdf[key], "i": pdf.i, "p": pdf.p, "raw": out})
-
-    raw = feats.groupBy(key).applyInPandas(run, f"{key} string, i int, p double, raw double")
+        return pdf, np.hstack([np.ones((len(pdf), 1)), pdf[NAMES5].to_numpy(float)]), pdf.r.to_numpy(float)
+
+    def forecast(pdf: pd.DataFrame, before) -> pd.DataFrame:
+        (pdf, a, r), total = read(pdf), np.zeros(d * d + d) if before is None else np.asarray(before, float)
+        i, out = pdf.i.to_numpy(), 0.5 * a[:, 1] - 0.5 * a[:, 2]
+        for at in range(1, len(a), 4096):
+            sums = total + np.cumsum(products(a[at - 1 : at + 4096], r[at - 1 : at + 4096]), axis=0)
+            total, rows = sums[-1], slice(at, at + len(sums))
+            ready = i[rows] >= warm
+            sums = sums[ready]
+            beta = np.linalg.solve(sums[:, : d * d].reshape(-1, d, d) + penalty, sums[:, d * d :, None])[..., 0]
+            out[rows][ready] = (a[rows][ready] * beta).sum(1)
+        own = i >= int(pdf["_b"].iloc[0]) * block
+        return pd.DataFrame({key: pdf[key], "i": pdf.i, "p": pdf.p, "raw": out})[own]
+
+    ddl = f"{key} string, i int, p double, raw double"
+    if (feats.agg(F.max("i")).first()[0] or 0) < block:  # no key has a second block
+        raw = feats.withColumn("_b", F.lit(0)).groupBy(key).applyInPandas(lambda pdf: forecast(pdf, None), ddl)
+    else:
+        keys, rows = [key, "_b"], spread(kept(feats), "i", 1, block=block)
+        full = rows.withColumn("_last", F.max("i").over(Window.partitionBy(*keys))).where(F.col("_last") >= (F.col("_b") + 1) * block - 1)
+
+        def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf, a, r = read(pdf)
+            return pd.DataFrame({key: pdf[key].iloc[:1], "_b": pdf["_b"].iloc[:1], "kind": "x", "v": [products(a, r).sum(0).tolist()]})
+
+        def run(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+            return forecast(pdf, known.v.iloc[0] if len(known) else None) if len(pdf) else pd.DataFrame(columns=[key, "i", "p", "raw"])
+
+        prior = _scan(full.groupBy(*keys).applyInPandas(sums, f"{key} string, _b long, kind string, v array<double>"), key, lambda kind, x, y: [float(m + n) for m, n in zip(x, y, strict=True)])
+        raw = rows.groupBy(*keys).cogroup(prior.groupBy(*keys)).applyInPandas(run, ddl)
     return raw.withColumn("y_pred", clip(F.col("raw"), most))
 
 

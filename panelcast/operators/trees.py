@@ -5,12 +5,15 @@ t .. t + refit - 1. Features are binned by quantiles of the training rows (at mo
 residuals, best split first, up to ``depth`` levels and ``leaves`` leaves; a leaf's value is the median residual of its rows. Every
 tree draws a share ``PART`` of the features, and every ``FREQ`` trees a share ``PART`` of the rows.
 
-The fits are independent, so they are dealt to tasks: per key in ``SPLIT`` groups, pooled in a group per fit. A pooled fit needs the
-rows of all keys before t in one task, so those must fit its memory; the rows of a block are repeated for each later fit."""
+The fits are independent, so they are dealt to tasks: per key in ``SPLIT`` groups, pooled in a group per fit and model. A pooled fit
+has as many models as its training rows fill ``SHARE`` times: each training row is learnt by one of them, by a hash of key and
+position, and each forecast is the mean of ``VOTES`` of them (of all, if there are fewer). So no task has more than about ``SHARE``
+training rows, no row is left out, and a fit of up to ``SHARE`` rows is one model. The rows of a block are repeated for each later fit."""
 
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -22,6 +25,9 @@ from . import windows as W
 from .features import NAMES
 
 BINS, PART, FREQ, SPLIT = 255, 0.8, 5, 8
+SHARE, VOTES = 1 << 18, 4
+#: At most so many partitions of fits; further ones share these.
+TASKS = 1 << 16
 
 
 def binned(x: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, int]:
@@ -92,8 +98,8 @@ def boosted(x: np.ndarray, y: np.ndarray, new: np.ndarray, rounds: int, rate: fl
     return score[n:]
 
 
-def predict(feats: DataFrame, warm: int = 100, refit: int = 40, rounds: int = 300, rate: float = 0.02, depth: int = 4, least: int = 50, shrink: float = 0.10, most: float = 0.03, last_fit: int | None = None, seed: int = 7, key: str = "stk", leaves: int = 15, pooled: bool = True) -> DataFrame:
-    """key, i, p, raw, y_pred by one model per refit over all keys of ``feats``, or with ``pooled`` off by one per key and refit.
+def predict(feats: DataFrame, warm: int = 100, refit: int = 40, rounds: int = 300, rate: float = 0.02, depth: int = 4, least: int = 50, shrink: float = 0.10, most: float = 0.03, last_fit: int | None = None, seed: int = 7, key: str = "stk", leaves: int = 15, pooled: bool = True, share: int = SHARE) -> DataFrame:
+    """key, i, p, raw, y_pred by the models of each refit over all keys of ``feats``, or with ``pooled`` off by one per key and refit.
 
     ``last_fit``: no refits after this row."""
     df = feats.select(key, "i", "p", *NAMES, F.lead("r").over(W.by_key(key)).alias("label"))
@@ -101,25 +107,68 @@ def predict(feats: DataFrame, warm: int = 100, refit: int = 40, rounds: int = 30
     longest = feats.agg(F.max("i")).first()[0]
     fits = [] if longest is None else [t for t in range(warm, longest + 1, refit) if last_fit is None or t <= last_fit]
     if fits:
-        end = len(fits) - 1
-        parts = len(fits) if pooled else min(SPLIT, len(fits))
-        # the first fit that scores or learns from a row, and the last fit of a part
-        first = F.when(F.col("i") < warm, 0).otherwise(F.least(F.floor((F.col("i") - warm) / refit), F.lit(end))).cast("int")
-        each = df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).where(end - (end - F.col("part")) % parts >= first)
-        by = ["part"] if pooled else [key, "part"]
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values([key, "i"])
-            i, x, y, raw = pdf.i.to_numpy(), pdf[NAMES].to_numpy(), pdf.label.to_numpy(float), np.full(len(pdf), np.nan)
-            for k in range(int(pdf.part.iloc[0]), end + 1, parts):
-                t = fits[k]
-                new = (i >= t) & ((i < t + refit) | (k == end))
-                old = (i < t) & np.isfinite(y)
-                if new.any():
-                    raw[new] = boosted(x[old], y[old], x[new], rounds, rate, depth, leaves, least, [seed, k]) if old.any() else 0.0
-            return pd.DataFrame({key: pdf[key], "i": pdf.i, "p": pdf.p, "raw": raw})[~np.isnan(raw)]
-
-        # a number of partitions of its own: each group is much work on few bytes, which adaptive execution would put together
-        tasks = max(parts, feats.sparkSession.sparkContext.defaultParallelism * 4)
-        out = out.unionByName(each.repartition(tasks, *by).groupBy(*by).applyInPandas(run, f"{key} string, i int, p double, raw double"))
+        # the fit that scores a row, -1 before the first
+        stage = F.when(F.col("i") < warm, -1).otherwise(F.least(F.floor((F.col("i") - warm) / refit), F.lit(len(fits) - 1))).cast("int")
+        grown = {"rounds": rounds, "rate": rate, "depth": depth, "leaves": leaves, "least": least}
+        fitted = _pooled if pooled else _per_key
+        out = out.unionByName(fitted(df.withColumn("stage", stage), fits, grown, seed, key, share))
     return out.select(key, "i", "p", "raw", F.when(F.col("i") < warm, 0.0).otherwise(clip(F.col("raw") * shrink, most)).alias("y_pred"))
+
+
+def _dealt(df: DataFrame, groups: int, by: list[str]) -> DataFrame:
+    # a number of partitions of its own: each group is much work on few bytes, which adaptive execution would put together
+    return df.repartition(min(max(groups, df.sparkSession.sparkContext.defaultParallelism * 4), TASKS), *by)
+
+
+def _per_key(df: DataFrame, fits: list[int], grown: dict, seed: int, key: str, share: int) -> DataFrame:
+    end, parts = len(fits) - 1, min(SPLIT, len(fits))
+    # a part has the rows that its last fit learns from or scores
+    each = df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).where(end - (end - F.col("part")) % parts >= F.col("stage"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        i, stage, x, y, raw = pdf.i.to_numpy(), pdf.stage.to_numpy(), pdf[NAMES].to_numpy(), pdf.label.to_numpy(float), np.full(len(pdf), np.nan)
+        for k in range(int(pdf.part.iloc[0]), end + 1, parts):
+            new, old = stage == k, (i < fits[k]) & np.isfinite(y)
+            if new.any():
+                raw[new] = boosted(x[old], y[old], x[new], **grown, seed=[seed, k]) if old.any() else 0.0
+        return pd.DataFrame({key: pdf[key], "i": pdf.i, "p": pdf.p, "raw": raw})[~np.isnan(raw)]
+
+    return _dealt(each, parts, [key, "part"]).groupBy(key, "part").applyInPandas(run, f"{key} string, i int, p double, raw double")
+
+
+def models_of(df: DataFrame, fits: list[int], share: int) -> list[int]:
+    """How many models each fit has, by the rows before it that have a label; ``df`` has ``stage``."""
+    known = {r.stage: r.n for r in df.where("label is not null").groupBy("stage").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out, rows = [], 0
+    for k in range(len(fits)):
+        rows += known.get(k - 1, 0)
+        out.append(max(1, math.ceil(rows / share)))
+    return out
+
+
+def _pooled(df: DataFrame, fits: list[int], grown: dict, seed: int, key: str, share: int) -> DataFrame:
+    many = models_of(df, fits, share)
+    each = df.withColumn("fit", F.explode(F.sequence(F.greatest("stage", F.lit(0)), F.lit(len(fits) - 1)))).where("fit = stage or label is not null")
+    split = max(many) > 1
+    if split:
+        each = each.join(df.sparkSession.createDataFrame(list(enumerate(many)), "fit int, models int"), "fit")
+    else:
+        each = each.withColumn("models", F.lit(1))
+    at = F.xxhash64(key, "i")
+    votes = F.when(F.col("fit") == F.col("stage"), F.least("models", F.lit(VOTES))).otherwise(1)
+    each = each.withColumn("model", F.explode(F.transform(F.sequence(F.lit(0), votes - 1), lambda j: F.pmod(F.pmod(at, F.col("models")) + j, F.col("models")).cast("int"))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([key, "i"])
+        k, y, new = int(pdf.fit.iloc[0]), pdf.label.to_numpy(float), (pdf.stage == pdf.fit).to_numpy()
+        old, scored = ~new & np.isfinite(y), pdf[new]
+        own = [seed, k, int(pdf.model.iloc[0])] if pdf.models.iloc[0] > 1 else [seed, k]
+        x = pdf[NAMES].to_numpy()
+        raw = 0.0
+        if new.any() and old.any():
+            raw = boosted(x[old], y[old], x[new], **grown, seed=own)
+        return pd.DataFrame({key: scored[key], "i": scored.i, "p": scored.p, "raw": raw})
+
+    found = _dealt(each, sum(many), ["fit", "model"]).groupBy("fit", "model").applyInPandas(run, f"{key} string, i int, p double, raw double")
+    return found.groupBy(key, "i").agg(F.first("p").alias("p"), F.avg("raw").alias("raw")) if split else found

@@ -47,6 +47,24 @@ def test_forecasts_in_blocks(panel, block):
     same(got, want, ("method", "stk", "i"), rtol=1e-6, atol=1e-9)
 
 
+@pytest.mark.parametrize("block", [1, 20, 70])
+def test_online_forecasts_in_blocks(panel, block):
+    """The scan of products equals a loop over whole keys that refits at every row."""
+    rows = feats.features5(panel).toPandas().sort_values(["stk", "i"])
+    want = []
+    for k, own in rows.groupby("stk"):
+        a = np.hstack([np.ones((len(own), 1)), own[feats.NAMES5].to_numpy()])
+        g, b = np.diag([0.0] + [0.01] * 5), np.zeros(6)
+        for t in range(len(a)):
+            if t:
+                g, b = g + np.outer(a[t - 1], a[t - 1]), b + a[t - 1] * own.r.iloc[t]
+            want.append((k, t, a[t] @ np.linalg.solve(g, b) if t >= 30 else 0.5 * a[t, 1] - 0.5 * a[t, 2]))
+    for size in (block, 65_520):
+        got = by_row(ridge.online5(feats.features5(panel), block=size).select("stk", "i", "raw"))
+        same_rows = pd.DataFrame(want, columns=["stk", "i", "raw"]).sort_values(["stk", "i"]).reset_index(drop=True)[["i", "raw", "stk"]]
+        pd.testing.assert_frame_equal(got, same_rows, check_dtype=False, rtol=1e-6, atol=1e-9)
+
+
 def test_forecasts_of_uneven_blocks_are_refused(panel):
     with pytest.raises(ValueError):
         ridge.predict(panel, ridge.Plan(refit=20), block=50)

@@ -137,6 +137,40 @@ def test_trees_refit_on_every_key(spark, name):
     assert np.allclose(predicted(R.METHODS[name](bars(spark, both | {"a": (changed, v)}), **kw))[:150], predicted(got)[:150])
 
 
+def test_pooled_trees_of_many_models(spark):
+    """Fits of more rows than a task takes: each row is learnt by one model of a fit, each forecast is the mean of the models that its hash names."""
+    from panelcast.operators import trees
+
+    g = np.random.default_rng(8)
+    panel = bars(spark, {k: (50 * np.exp(np.cumsum(g.normal(0, 0.02, n))), g.integers(1, 99, n).astype(float)) for k, n in {"a": 150, "b": 90, "c": 61, "hot": 260}.items()})
+    made, warm, refit, share, grown = feats.features(panel), 60, 50, 40, {"rounds": 3, "rate": 0.1, "depth": 2, "leaves": 4, "least": 3}
+    got = {(r.stk, r.i): r.raw for r in trees.predict(made, warm=warm, refit=refit, share=share, **grown).collect()}
+    rows = made.withColumn("h", F.xxhash64("stk", "i")).toPandas().sort_values(["stk", "i"])
+    rows["label"] = rows.groupby("stk").r.shift(-1)
+    x = rows[trees.NAMES].to_numpy()
+    want = {(k, i): 0.0 for k, i in zip(rows.stk, rows.i) if i < warm}
+    for k, t in enumerate(range(warm, 260, refit)):
+        old = ((rows.i < t) & rows.label.notna()).to_numpy()
+        models = max(1, -(-int(old.sum()) // share))
+        assert models > 4
+        new = ((rows.i >= t) & (rows.i < t + refit)).to_numpy()
+        parts = {m: [] for m in range(models)}
+        for n in np.flatnonzero(old):
+            parts[int(rows.h.iloc[n]) % models].append(n)
+        asked = {m: [n for n in np.flatnonzero(new) if (m - int(rows.h.iloc[n])) % models < trees.VOTES] for m in range(models)}
+        votes = {}
+        for m in range(models):
+            if asked[m]:
+                for n, v in zip(asked[m], trees.boosted(x[parts[m]], rows.label.to_numpy()[parts[m]], x[asked[m]], seed=[7, k, m], **grown)):
+                    votes.setdefault(n, []).append(v)
+        assert all(len(v) == trees.VOTES for v in votes.values())
+        want |= {(rows.stk.iloc[n], rows.i.iloc[n]): np.mean(v) for n, v in votes.items()}
+    assert set(got) == set(want) and all(abs(got[q] - want[q]) < 1e-12 for q in want)
+    # a share that all rows fit is one model: the mean of one
+    one = trees.predict(made, warm=warm, refit=refit, **grown)
+    assert one.count() == len(rows) == one.select("stk", "i").distinct().count()
+
+
 def test_registered_trees_cut_nothing(spark, monkeypatch):
     from panelcast.operators import trees
     from panelcast.plans import queries
