@@ -207,7 +207,7 @@ def nearest(embeddings: DataFrame, is_query, k: int = K, bytes: int = BYTES, blo
         return pd.DataFrame(rows, columns=["shard", "dim", "graph"])
 
     dealt = usable.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"))
-    graphs = stored(dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(make, graph_ddl), "graphs")
+    graphs = stored(dealt.repartitionById(shards, "shard").groupBy("shard").applyInPandas(make, graph_ddl), "graphs")
     asked = usable.where("asks").groupBy("vec_id").agg(F.min(F.struct(F.size("v").alias("dim"), "v")).alias("s")).select("vec_id", "s.*")
     # a task for each shard and share of the queries; the graph comes first, then the queries, one row each
     task = lambda share: (F.col("shard") * blocks + share).cast("int").alias("task")
