@@ -18,6 +18,7 @@ from ..operators import windows as W
 from ..operators.blocks import in_blocks
 from ..operators.features import features, features5
 from ..operators.score import evaluate_forecasts, swept
+from ..sources import with_ends
 
 Predictor = Callable[[DataFrame], DataFrame]
 METHODS: dict[str, Predictor] = {}
@@ -150,10 +151,9 @@ def shrink_sweep(pred: DataFrame, old: float, values: list[float], most: float =
 def tail_sweep(bars: DataFrame, lengths: list[int | None], predictor: Predictor) -> DataFrame:
     """Scores per (length, stk) on the last rows of each key; length 0 stands for all rows. Features start cold in each slice."""
     length = F.explode(F.array(*(F.lit(n or 0) for n in lengths))).alias("length")
-    w = W.Window.partitionBy("stk").orderBy(F.desc("i"))
-    each = bars.select("stk", "i", "p", "v").withColumn("_r", F.row_number().over(w)).select("*", length).where("length = 0 or _r <= length")
-    each = each.withColumn("key", F.concat_ws("|", F.col("length").cast("string"), "stk"))
-    each = each.withColumn("i", (F.row_number().over(W.Window.partitionBy("key").orderBy("i")) - 1).cast("int"))
+    start = F.when(F.col("length") == 0, F.col("_first")).otherwise(F.greatest(F.col("_last") + 1 - F.col("length"), F.col("_first")))
+    each = with_ends(bars.select("stk", "i", "p", "v")).select("*", length).where(F.col("i") >= start)
+    each = each.withColumns({"key": F.concat_ws("|", F.col("length").cast("string"), "stk"), "i": (F.col("i") - start).cast("int")})
     pred = predictor(each.select(F.col("key").alias("stk"), "i", "p", "v"))
     scores = evaluate_forecasts(pred)
     return scores.select(F.split_part("stk", F.lit("|"), F.lit(1)).cast("int").alias("length"), F.split_part("stk", F.lit("|"), F.lit(2)).alias("stk"), "n", "base", "abs", "rel")

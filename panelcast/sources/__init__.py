@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.utils import AnalysisException
 
+from ..session import kept
+
 #: The positional columns of a bar matrix.
 BAR_COLUMNS = ("date", "opn", "cls", "low", "high", "nsh", "vol", "adj")
 BAR_SCHEMA = "stk string, i int, " + ", ".join(f"{c} double" for c in BAR_COLUMNS)
@@ -269,8 +271,16 @@ def read_list(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: str, key: str = "stk") -> DataFrame:
-    """With ``i``, the position of a row in its key."""
-    return df.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
+    """With ``i``, the position of a row in its key; keys of any length.
+
+    The rows are sorted in ranges of (key, order); each range numbers its part of a key, and what the ranges before it have of that
+    key, one row per range and key, is added. Only rows that are equal in both meet in one range however many they are."""
+    parts = kept(df.repartitionByRange(key, order).withColumn("_part", F.spark_partition_id()))
+    runs = parts.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_run")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_key").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = parts.withColumn("_at", F.row_number().over(Window.partitionBy(key, "_part").orderBy(order)) - 1)
+    found = own.join(runs.select("_key", "_run", before.alias("_before")), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_run")))
+    return found.select(*(c for c in df.columns if c != "i"), (F.col("_at") + F.col("_before")).alias("i"))
 
 
 def prices(bars: DataFrame, price: str = "adj", volume: str = "vol") -> DataFrame:
@@ -285,15 +295,22 @@ def date_range(bars: DataFrame, low: int, high: int) -> DataFrame:
 
 def long_enough(bars: DataFrame, least: int = 300) -> DataFrame:
     """Only keys with at least ``least`` rows."""
-    return bars.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("stk"))).where(F.col("_n") >= least).drop("_n")
+    long = bars.groupBy(F.col("stk").alias("_stk")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    return bars.join(long, F.col("stk").eqNullSafe(F.col("_stk")), "left_semi")
+
+
+def with_ends(bars: DataFrame) -> DataFrame:
+    """bars with ``_first`` and ``_last``, the first and the last ``i`` of its key."""
+    ends = bars.groupBy(F.col("stk").alias("_stk")).agg(F.min("i").alias("_first"), F.max("i").alias("_last"))
+    return bars.join(ends, F.col("stk").eqNullSafe(F.col("_stk"))).drop("_stk")
 
 
 def tail(bars: DataFrame, n: int | None) -> DataFrame:
-    """The last n rows of each key, numbered anew; all if n is None. Features of the result start cold."""
+    """The last n rows of each key, numbered anew; all if n is None. ``i`` has no gaps. Features of the result start cold."""
     if n is None:
         return bars
-    last = Window.partitionBy("stk").orderBy(F.desc("i"))
-    return numbered(bars.withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= n).drop("_r"), "i")
+    start = F.greatest(F.col("_last") + 1 - n, F.col("_first"))
+    return with_ends(bars).where(F.col("i") >= start).withColumn("i", F.col("i") - start).drop("_first", "_last")
 
 
 def market(spark: SparkSession, sf_dir: str, walk: float = WALK) -> DataFrame:

@@ -121,6 +121,28 @@ def test_ieee_division_and_missing_values(spark):
     assert [(r.y, r.c) for r in df.collect()] == [(-2, -3), (2, 3), (0, 0)]
 
 
+def test_numbering_of_long_keys(spark):
+    """One key of two thirds of all rows and rows without a key: numbered in several ranges, and tails cut, as by loops."""
+    g = np.random.default_rng(6)
+    rows = [(k, int(t), float(t)) for k, n in {"hot": 4000, "a": 1000, None: 900, "b": 1}.items() for t in g.permutation(n)]
+    df = spark.createDataFrame(rows, "stk string, ts long, x double").repartition(5)
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        made = sources.numbered(df, "ts").collect()
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert len(made) == len(rows) and all(r.i == r.ts == r.x for r in made)
+    bars = spark.createDataFrame([(r.stk, r.i + 5, r.x) for r in made], "stk string, i long, x double")
+    got = sorted((str(r.stk), r.i, r.x) for r in sources.tail(bars, 950).collect())
+    assert got == sorted((str(k), i, float(max(n - 950, 0) + i)) for k, n in {"hot": 4000, "a": 1000, None: 900, "b": 1}.items() for i in range(min(n, 950)))
+    assert {r.stk for r in sources.long_enough(bars, 901).select("stk").distinct().collect()} == {"hot", "a"}
+    assert {r.stk for r in sources.long_enough(bars, 900).select("stk").distinct().collect()} == {"hot", "a", None}
+    assert sources.numbered(df.limit(0), "ts").count() == sources.tail(bars.limit(0), 3).count() == 0
+
+
 def test_sources(spark, tmp_path):
     a = np.arange(24.0).reshape(3, 8)
     (tmp_path / "one").mkdir(), (tmp_path / "two").mkdir()
