@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clip
 from . import windows as W
+from .blocks import in_blocks
 from .features import NAMES
 
 BINS, PART, FREQ, SPLIT = 255, 0.8, 5, 8
@@ -102,7 +103,7 @@ def predict(feats: DataFrame, warm: int = 100, refit: int = 40, rounds: int = 30
     """key, i, p, raw, y_pred by the models of each refit over all keys of ``feats``, or with ``pooled`` off by one per key and refit.
 
     ``last_fit``: no refits after this row."""
-    df = feats.select(key, "i", "p", *NAMES, F.lead("r").over(W.by_key(key)).alias("label"))
+    df = in_blocks(feats.select(key, "i", "p", "r", *NAMES), lambda df, keys: df.withColumn("label", F.lead("r").over(W.by_key(keys))), [key], "i", 0, 1).drop("r")
     out = df.where(F.col("i") < warm).select(key, "i", "p", F.lit(0.0).alias("raw"))
     longest = feats.agg(F.max("i")).first()[0]
     fits = [] if longest is None else [t for t in range(warm, longest + 1, refit) if last_fit is None or t <= last_fit]
