@@ -3,6 +3,7 @@
 A matcher maps cases (id, text) to (id, province, ward, street). Names are compared through an index of their segments
 (``near``): two texts within k edits, one of them cut into k + 1 segments, have a segment in common, at places at most k apart. So
 names and texts meet in an equi-join on such segments, whatever the length of the lists, and only pairs that meet are compared.
+Of lists of few names all of similar length are compared, which moves nothing.
 ``nearest`` takes texts whose levels stand between commas, ``segmented`` texts without."""
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import kept
 from . import windows as W
 
 FIELDS = ("province", "ward", "street")
@@ -32,17 +34,23 @@ def normalised(c):
 
 #: Most edits that the index covers.
 EDITS = 3
+#: Names up to which all of similar length are compared, without the index.
+FEW = 200
 #: Names in a block of the comparison of all.
 BLOCK = 5_000
 
 
 def _keys(df: DataFrame, text: str, right: bool) -> DataFrame:
-    """df with ``key``s: of names the segments for each number of edits, of texts, which have a column k, all places of segments of names of similar length."""
+    """df with ``key``s: of names the segments for each number of edits, of texts, which have a column k, places of segments of names of similar length.
+
+    The first segment before which, and in which, there are fewer edits than segments is whole: the j segments before it have j edits
+    and those behind it k - j at most. So it is moved by j at most, and against the ends of the texts by k - j."""
     size = f"length({text})"
     at = "cast(floor(j * n / (k + 1)) as int)"
     to = "cast(floor((j + 1) * n / (k + 1)) as int)"
     if right:
-        spots = f"filter(transform(sequence(-k, k), d -> {at} + d), a -> a >= 0 AND a + {to} - {at} <= {size})"
+        moved = f"filter(sequence(-j, j), d -> abs(d - ({size} - n)) <= k - j)"
+        spots = f"filter(transform({moved}, d -> {at} + d), a -> a >= 0 AND a + {to} - {at} <= {size})"
         each = f"transform({spots}, a -> concat_ws(':', k, n, j, substring({text}, a + 1, {to} - {at})))"
         df = df.withColumn("n", F.expr(f"explode(sequence(greatest({size} - k, 0), {size} + k))"))
         whole = f"array_distinct(flatten(transform(sequence(0, k), j -> {each})))"
@@ -59,8 +67,15 @@ def met(parts: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def near(parts: DataFrame, names: DataFrame) -> DataFrame:
-    """kind, part, name, norm and distance of all pairs within k edits, k being a column of ``parts`` (kind, part, k) from 0 to EDITS; pairs come at least once."""
-    found = met(parts, names).select("kind", "part", "name", "norm", F.levenshtein("part", "norm", EDITS).alias("distance"), "most")
+    """kind, part, name, norm and distance of all pairs within k edits, k being a column of ``parts`` (kind, part, k) from 0 to EDITS; pairs come at least once.
+
+    ``names`` is read several times: keep it first."""
+    if names.limit(FEW + 1).count() <= FEW:
+        some = F.broadcast(names.select("kind", "name", "norm", F.length("norm").alias("n")))
+        pairs = parts.select("kind", "part", F.col("k").alias("most"), F.length("part").alias("size")).join(some, "kind").where(F.abs(F.col("size") - F.col("n")) <= F.col("most"))
+    else:
+        pairs = met(parts, names)
+    found = pairs.select("kind", "part", "name", "norm", F.levenshtein("part", "norm", EDITS).alias("distance"), "most")
     return found.where("distance >= 0 AND distance <= most").drop("most")
 
 
@@ -103,7 +118,7 @@ def nearest(cases: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Segments between commas, from the right: province, ward, street; for each the name of least edit distance, ties to the longer, then the smaller name.
 
     A leading house number is dropped from the street unless the segment is a number alone."""
-    names = gazetteer.where("name is not null").select("kind", "name", normalised(F.col("name")).alias("norm")).distinct()
+    names = kept(gazetteer.where("name is not null").select("kind", "name", normalised(F.col("name")).alias("norm")).distinct())
     parts = F.reverse(F.split("text", ","))
     raw = {k: F.coalesce(F.get(parts, F.lit(i)), F.lit("")) for i, k in enumerate(FIELDS)}
     raw["street"] = F.regexp_replace(raw["street"], r"^\s*[0-9]+[A-Za-z]?(/[0-9]+)*\s+", "")
@@ -131,14 +146,15 @@ def segmented(cases: DataFrame, gazetteer: DataFrame) -> DataFrame:
     Runs have as many words as the longest name and one more at most. Distinct runs meet the lists in the index. The cheapest way
     is found level by level: for each run of a level the best way of the levels before that ends no later, by a running minimum
     over the places of the text, so the work grows with the runs that match and not with their combinations."""
-    names = gazetteer.where("name is not null").select("kind", "name", normalised(F.col("name")).alias("norm")).where("norm != ''").distinct()
+    names = kept(gazetteer.where("name is not null").select("kind", "name", normalised(F.col("name")).alias("norm")).where("norm != ''").distinct())
     longest = names.agg(F.max(F.size(F.split("norm", " ")))).first()[0] or 1
-    words = cases.select("id", F.split(normalised(F.col("text")), " ").alias("w"))
-    each = words.select("id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("lo"))
-    runs = each.select("id", "w", "lo", F.explode(F.sequence(F.col("lo") + 1, F.least(F.size("w"), F.col("lo") + longest + 1))).alias("hi"))
-    part = F.slice("w", F.col("lo") + 1, F.col("hi") - F.col("lo"))
-    cost = F.aggregate(part, F.lit(0), lambda n, x: n + F.when(x.rlike("^[0-9]+$"), 0).otherwise(F.length(x)))
-    runs = runs.select("id", "lo", "hi", F.array_join(part, " ").alias("part"), cost.alias("saved"))
+    # few bytes, much work: dealt anew, as a file of many cases may be one split
+    words = cases.select("id", "text").repartition("id").select("id", F.split(normalised(F.col("text")), " ").alias("w"))
+    words = words.withColumn("c", F.transform("w", lambda x: F.when(x.rlike("^[0-9]+$"), 0).otherwise(F.length(x))))
+    each = words.select("id", "w", "c", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("lo"))
+    runs = each.select("id", "w", "c", "lo", F.explode(F.sequence(F.col("lo") + 1, F.least(F.size("w"), F.col("lo") + longest + 1))).alias("hi"))
+    part, costs = (F.slice(c, F.col("lo") + 1, F.col("hi") - F.col("lo")) for c in ("w", "c"))
+    runs = runs.select("id", "lo", "hi", F.array_join(part, " ").alias("part"), F.aggregate(costs, F.lit(0), lambda n, x: n + x).alias("saved"))
     distinct = runs.select("part").distinct().withColumn("k", F.least((F.length("part") / 4).cast("int"), F.lit(EDITS)))
     distinct = distinct.select(F.explode(F.array(*map(F.lit, FIELDS))).alias("kind"), "part", "k")
     order = F.struct("distance", -F.length("norm"), "name")

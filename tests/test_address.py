@@ -114,3 +114,19 @@ def test_marks_of_any_form(spark):
     words = ["Điện Biên Phủ", "Ngã Bảy", "Ệ ộ ữ"]
     df = spark.createDataFrame([(unicodedata.normalize(f, w),) for w in words for f in ("NFC", "NFD")], "s string").select(address.normalised(F.col("s")).alias("n"))
     assert [r.n for r in df.collect()] == [x for w in ("dien bien phu", "nga bay", "e o u") for x in (w, w)]
+
+
+def test_index_finds_all_pairs_of_long_lists(spark, monkeypatch):
+    """The existing test's lists are short enough to be compared without the index; here the index has to find the same."""
+    monkeypatch.setattr(address, "FEW", 0)
+    test_index_finds_all_pairs(spark)
+
+
+def test_numbered_texts_make_few_rows(spark):
+    """Runs of words with a number in them differ from case to case: what such a part costs decides the cost of all. Up to 196 keys each before."""
+    parts = spark.createDataFrame([(k, f"{n} machinery france", 3) for k in LISTS for n in range(100)], "kind string, part string, k int")
+    assert address._keys(parts.withColumn("most", F.col("k")), "part", True).count() <= 44 * parts.count()
+    # of few names nothing is cut into keys at all
+    names = spark.createDataFrame([(k, n, n) for k in LISTS for n in ("machinery", "france")], "kind string, name string, norm string")
+    plan = address.near(parts, names)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Generate" not in plan
