@@ -27,6 +27,8 @@ from .features import NAMES
 
 BINS, PART, FREQ, SPLIT = 255, 0.8, 5, 8
 SHARE, VOTES = 1 << 18, 4
+#: What a sign weighs where it is counted with the rows; more than twice the rows of a fit.
+SIGN = 2.0**26
 #: At most so many partitions of fits; further ones share these.
 TASKS = 1 << 16
 
@@ -52,12 +54,41 @@ def _last_split(gains: list[np.ndarray]) -> tuple[int, int]:
     return last
 
 
+def _gains(count: np.ndarray, least: int) -> np.ndarray:
+    """(nodes, features, bins) of what each split gains, from totals up to each bin of SIGN times the residuals' signs plus the rows; 0 where a side has fewer than ``least`` rows."""
+    left = np.rint(count * (1 / SIGN))
+    size = count - left * SIGN
+    n_all, s_all = size[:, :1, -1:], left[:, :1, -1:].copy()
+    other, right = n_all - size, s_all - left
+    few = np.minimum(size, other) < max(least, 1)
+    left *= left
+    right *= right
+    with np.errstate(divide="ignore", invalid="ignore"):
+        left /= size
+        right /= other
+    left += right
+    left -= s_all**2 / np.maximum(n_all, 1)
+    left[few] = 0
+    return left
+
+
+def _median(v: np.ndarray) -> float:
+    """np.median of finite values, without what it costs on few."""
+    half = len(v) // 2
+    if len(v) % 2:
+        return np.partition(v, half)[half]
+    low = np.partition(v, (half - 1, half))
+    return (low[half - 1] + low[half]) / 2
+
+
 def boosted(x: np.ndarray, y: np.ndarray, new: np.ndarray, rounds: int, rate: float, depth: int, leaves: int, least: int, seed: list[int]) -> np.ndarray:
     """Forecasts for the rows ``new`` by trees fitted on x and y."""
     if leaves < (1 << depth) - 1:
         raise ValueError("of a full tree, one split at most can be left out")
     g = np.random.default_rng(seed)
     n, d = x.shape
+    if n > SIGN / 2:
+        raise ValueError("rows and signs of one fit are no longer told from each other")
     codes, bins = binned(x, new)
     every, own = np.arange(n + len(new)), np.arange(n)
     score = np.full(n + len(new), np.median(y))
@@ -69,16 +100,13 @@ def boosted(x: np.ndarray, y: np.ndarray, new: np.ndarray, rounds: int, rate: fl
         chosen = np.sort(g.choice(d, drawn, replace=False))
         keys = mine[chosen] + (np.arange(drawn) * bins)[:, None]
         rest = y[own] - score[own]
-        sign = np.broadcast_to(np.sign(rest), keys.shape).ravel()
+        # rows and signs are counted together; both are whole numbers, so their sum is exact
+        both = np.broadcast_to(np.sign(rest) * SIGN + 1, keys.shape).ravel()
         node, gains = np.zeros(len(every), np.int64), []
         for level in range(depth):
             shape = (1 << level, drawn, bins)
             flat = (keys + node[own] * (drawn * bins)).ravel()
-            size = np.cumsum(np.bincount(flat, minlength=shape[0] * drawn * bins).reshape(shape), 2)
-            left = np.cumsum(np.bincount(flat, sign, shape[0] * drawn * bins).reshape(shape), 2)
-            n_all, s_all = size[..., -1:], left[..., -1:]
-            ok = (size >= least) & (n_all - size >= least)
-            gain = np.where(ok, left**2 / np.maximum(size, 1) + (s_all - left) ** 2 / np.maximum(n_all - size, 1) - s_all**2 / np.maximum(n_all, 1), 0).reshape(shape[0], -1)
+            gain = _gains(np.cumsum(np.bincount(flat, both, shape[0] * drawn * bins).reshape(shape), 2), least).reshape(shape[0], -1)
             best = gain.argmax(1)
             top = gain[np.arange(shape[0]), best]
             top = np.where(top > 1e-9, top, 0)
@@ -90,11 +118,12 @@ def boosted(x: np.ndarray, y: np.ndarray, new: np.ndarray, rounds: int, rate: fl
             level, at = _last_split(gains)
             low = at << (depth - level)
             node[(node >= low) & (node < low + (1 << (depth - level)))] = low
-        value, order = np.zeros(1 << depth), np.argsort(node[own], kind="stable")
+        # few bits: sorted by radix
+        value, order = np.zeros(1 << depth), np.argsort(node[own].astype(np.uint16), kind="stable")
         ends = np.cumsum(np.bincount(node[own], minlength=1 << depth))
         for k, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends)):
             if b > a:
-                value[k] = np.median(rest[order[a:b]])
+                value[k] = _median(rest[order[a:b]])
         score += rate * value[node]
     return score[n:]
 
@@ -117,8 +146,8 @@ def predict(feats: DataFrame, warm: int = 100, refit: int = 40, rounds: int = 30
 
 
 def _dealt(df: DataFrame, groups: int, by: list[str]) -> DataFrame:
-    # a number of partitions of its own: each group is much work on few bytes, which adaptive execution would put together
-    return df.repartition(min(max(groups, df.sparkSession.sparkContext.defaultParallelism * 4), TASKS), *by)
+    # a number of partitions of its own: each group is much work on few bytes, which adaptive execution would put together; four for a group, so that few share one
+    return df.repartition(min(max(4 * groups, df.sparkSession.sparkContext.defaultParallelism * 4), TASKS), *by)
 
 
 def _per_key(df: DataFrame, fits: list[int], grown: dict, seed: int, key: str, share: int) -> DataFrame:
@@ -135,7 +164,7 @@ def _per_key(df: DataFrame, fits: list[int], grown: dict, seed: int, key: str, s
                 raw[new] = boosted(x[old], y[old], x[new], **grown, seed=[seed, k]) if old.any() else 0.0
         return pd.DataFrame({key: pdf[key], "i": pdf.i, "p": pdf.p, "raw": raw})[~np.isnan(raw)]
 
-    return _dealt(each, parts, [key, "part"]).groupBy(key, "part").applyInPandas(run, f"{key} string, i int, p double, raw double")
+    return _dealt(each, parts * df.agg(F.approx_count_distinct(key)).first()[0], [key, "part"]).groupBy(key, "part").applyInPandas(run, f"{key} string, i int, p double, raw double")
 
 
 def models_of(df: DataFrame, fits: list[int], share: int) -> list[int]:

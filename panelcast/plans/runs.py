@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import score
+from ..session import kept
 from . import registry as R
 
 SCORES = "stk string, n long, base double, abs double, rel double"
@@ -71,7 +72,10 @@ class Store:
             self._fs.delete(self._path(made), True)
 
     def run(self, bars: DataFrame, methods: list[str]) -> DataFrame:
-        """method, stk, n, base, abs and rel; methods that are absent are computed first, those that share features together."""
+        """method, stk, n, base, abs and rel; methods that are absent are computed first, those that share features together.
+
+        The bars are made once, for the digest and all methods."""
+        bars = kept(bars.select("stk", "i", "p", "v"))
         digest = fingerprint(bars)
         absent = [m for m in methods if not self.has(m, digest)]
         if absent:

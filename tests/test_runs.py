@@ -203,3 +203,43 @@ def test_one_tree_by_loops():
         for rows, every in [*done, *((r, e) for _, r, e, _ in grown)]:
             want[every] = start + np.median(y[rows] - start)
         assert np.allclose(got, want), seed
+
+
+def test_bars_are_made_once(spark, tmp_path):
+    """What the bars are made from may be any size: the digest and all methods read what was made once."""
+    made, n = spark.sparkContext.accumulator(0), 150
+
+    def counted(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    bars = spark.range(n).selectExpr("'a' AS stk", "cast(id AS int) AS i", "100 + id % 7 + 0.0 AS p", "1.0D AS v").selectExpr("stk", "i", "cast(p AS double) AS p", "v").mapInPandas(counted, "stk string, i int, p double, v double")
+    assert runs.Store(spark, f"file://{tmp_path}/store").run(bars, ["zero", "baseline_v2", "ma_reversion"]).count() == 3
+    assert made.value == n
+
+
+def test_gains_and_medians_of_trees():
+    """Signs and rows are counted in one number; both, and what splits gain, are those of separate counts."""
+    g = np.random.default_rng(5)
+    for least in (0, 1, 7):
+        sign, rows = g.integers(-1, 2, (4, 500)), np.ones((4, 500), int)
+        at = g.integers(0, 40, (4, 6, 500))
+        count = lambda w: np.stack([[np.cumsum(np.bincount(f, v, 40)) for f in node] for node, v in zip(at, w, strict=True)])  # noqa: B023, E731
+        size, left = count(rows), count(sign)
+        n, s = size[..., -1:], left[..., -1:]
+        ok = (size >= least) & (n - size >= least)
+        want = np.where(ok, left**2 / np.maximum(size, 1) + (s - left) ** 2 / np.maximum(n - size, 1) - s**2 / np.maximum(n, 1), 0)
+        assert np.array_equal(trees._gains(count(sign * trees.SIGN + 1), least), want)
+    for k in range(1, 60):
+        v = g.normal(size=k)
+        assert trees._median(v) == np.median(v)
+
+
+def test_fits_of_keys_are_dealt_by_their_number(spark, monkeypatch):
+    """Eight groups for each key, not eight for all."""
+    asked, own = [], trees._dealt
+    monkeypatch.setattr(trees, "_dealt", lambda df, groups, by: asked.append(groups) or own(df, groups, by))
+    bars = spark.range(6 * 300).selectExpr("concat('s', id % 6) AS stk", "cast(id DIV 6 AS int) AS i", "100 + 0.1D * (id % 11) AS p", "1.0D AS v")
+    R.METHODS["gbt"](bars)
+    assert asked == [6 * 8]
