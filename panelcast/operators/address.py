@@ -143,44 +143,46 @@ def segmented(cases: DataFrame, gazetteer: DataFrame) -> DataFrame:
     most; a level may have no name, for MISSING. The answer is the cheapest way, ties to more letters in its names, then to the
     smaller street, ward and province. So a name that stands on two lists falls to the level that the rest of the text leaves it.
 
-    Runs have as many words as the longest name and one more at most. Distinct runs meet the lists in the index. The cheapest way
-    is found level by level: for each run of a level the best way of the levels before that ends no later, by a running minimum
-    over the places of the text, so the work grows with the runs that match and not with their combinations."""
-    names = kept(gazetteer.where("name is not null").select("kind", "name", normalised(F.col("name")).alias("norm")).where("norm != ''").distinct())
-    longest = names.agg(F.max(F.size(F.split("norm", " ")))).first()[0] or 1
+    Runs have as many words as the longest name and one more at most. Distinct runs meet the lists in the index; what of a run depends on
+    its words alone is found there, once for each. The cheapest way is found level by level: for each run of a level the best way of
+    the levels before that ends no later, by a running minimum over the places of the text, so the work grows with the runs that match
+    and not with their combinations. All levels go through the same rows, which are dealt by text once."""
+    # the test of norm stays behind what is stored: before, it would be made on every row that the lists are drawn from
+    names = kept(gazetteer.where("name is not null").select("kind", "name").distinct().withColumn("norm", normalised(F.col("name")))).where("norm != ''")
+    size = F.length("norm")
+    longest, short, long = names.agg(F.max(F.size(F.split("norm", " "))), F.min(size) - EDITS, F.max(size) + EDITS).first()
     # few bytes, much work: dealt anew, as a file of many cases may be one split
     words = cases.select("id", "text").repartition("id").select("id", F.split(normalised(F.col("text")), " ").alias("w"))
-    words = words.withColumn("c", F.transform("w", lambda x: F.when(x.rlike("^[0-9]+$"), 0).otherwise(F.length(x))))
-    each = words.select("id", "w", "c", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("lo"))
-    runs = each.select("id", "w", "c", "lo", F.explode(F.sequence(F.col("lo") + 1, F.least(F.size("w"), F.col("lo") + longest + 1))).alias("hi"))
-    part, costs = (F.slice(c, F.col("lo") + 1, F.col("hi") - F.col("lo")) for c in ("w", "c"))
-    runs = runs.select("id", "lo", "hi", F.array_join(part, " ").alias("part"), F.aggregate(costs, F.lit(0), lambda n, x: n + x).alias("saved"))
+    each = words.select("id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("lo"))
+    runs = each.select("id", "w", "lo", F.explode(F.sequence(F.col("lo") + 1, F.least(F.size("w"), F.col("lo") + (longest or 1) + 1))).alias("hi"))
+    runs = runs.select("id", "lo", "hi", F.array_join(F.slice("w", F.col("lo") + 1, F.col("hi") - F.col("lo")), " ").alias("part"))
+    # others are too short or too long for any name
+    runs = runs.where(F.length("part").between(short or 0, long or 0))
     distinct = runs.select("part").distinct().withColumn("k", F.least((F.length("part") / 4).cast("int"), F.lit(EDITS)))
     distinct = distinct.select(F.explode(F.array(*map(F.lit, FIELDS))).alias("kind"), "part", "k")
     order = F.struct("distance", -F.length("norm"), "name")
-    hits = near(distinct, names).groupBy("kind", "part").agg(F.min(order).alias("o")).select("kind", "part", F.col("o.distance").alias("distance"), (-F.col("o.col2")).alias("letters"), F.col("o.name").alias("name"))
-    found = runs.join(hits, "part")
-    # a way: what it costs against leaving all words out, the letters of its names, and these
-    way = lambda cost, letters, *found: F.struct(cost.cast("int").alias("cost"), letters.cast("int").alias("less"), *(n.cast("string").alias(k) for k, n in zip(("street", "ward", "province"), found, strict=False)))
-    none = F.lit(None)
-    start = way(F.lit(MISSING), F.lit(0), F.lit(""))
-    best = found.where("kind = 'street'").select("id", F.col("hi").alias("at"), way(F.col("distance") - F.col("saved"), -F.col("letters"), F.col("name")).alias("way"))
-    so_far = W.Window.partitionBy("id").orderBy("at", "turn").rowsBetween(W.Window.unboundedPreceding, 0)
-    for level in ("ward", "province"):
-        own = found.where(F.col("kind") == level).select("id", F.col("lo").alias("at"), F.col("hi"), F.col("distance") - F.col("saved"), F.col("letters"), F.col("name")).toDF("id", "at", "hi", "cost", "letters", "name")
-        blank = {c: none.cast(t) for c, t in own.dtypes if c not in ("id", "at")}
-        events = best.select("id", "at", F.lit(0).alias("turn"), "way", *(v.alias(c) for c, v in blank.items())).unionByName(own.withColumns({"turn": F.lit(1), "way": none.cast(best.schema["way"].dataType)}))
+    hits = near(distinct, names).groupBy("kind", "part").agg(F.min(order).alias("o"))
+    saved = F.aggregate(F.split("part", " "), F.lit(0), lambda n, x: n + F.when(x.rlike("^[0-9]+$"), 0).otherwise(F.length(x)))
+    hits = hits.select("kind", "part", (F.col("o.distance") - saved).alias("cost"), F.col("o.col2").alias("less"), F.col("o.name").alias("name"))
+    found = runs.join(hits, "part").drop("part")
+    # a way: what it costs against leaving all words out, the letters of its names (below 0), and these
+    levels = ("street", "ward", "province")
+    way = lambda cost, less, *found: F.struct(cost.cast("int").alias("cost"), less.cast("int").alias("less"), *(n.cast("string").alias(k) for k, n in zip(levels, found, strict=False)))
+    blank = lambda n: way(F.lit(MISSING * n), F.lit(0), *[F.lit("")] * n)
+    cost, less, name = F.col("cost"), F.col("less"), F.col("name")
+    found = found.withColumn("way", F.when(F.col("kind") == levels[0], way(cost, less, name)))
+    for n, level in enumerate(levels[1:], 1):
+        own = F.col("kind") == level
         # of the ways that end no later; the one without names can begin anywhere
-        before = F.least(F.min("way").over(so_far), start)
-        events = events.withColumn("before", F.coalesce(before, start))
-        named = [F.col(f"before.{k}") for k in ("street", "ward")[: 1 if level == "ward" else 2]]
-        taken = events.where("turn = 1").select("id", F.col("hi").alias("at"), way(F.col("before.cost") + F.col("cost"), F.col("before.less") - F.col("letters"), *named, F.col("name")).alias("way"))
+        at, turn = F.when(own, F.col("lo")).otherwise(F.col("hi")), own.cast("int")
+        so_far = W.Window.partitionBy("id").orderBy(at, turn).rowsBetween(W.Window.unboundedPreceding, 0)
+        found = found.withColumn("before", F.least(F.min("way").over(so_far), blank(n)))
+        taken = way(F.col("before.cost") + cost, F.col("before.less") + less, *(F.col(f"before.{k}") for k in levels[:n]), name)
         # or the level has no name
-        left = events.where("turn = 0").select("id", "at", way(F.col("way.cost") + MISSING, F.col("way.less"), *[F.col(f"way.{k}") for k in ("street", "ward")[: len(named)]], F.lit("")).alias("way"))
-        best = taken.unionByName(left)
-        start = way(F.lit(MISSING * (2 if level == "ward" else 3)), F.lit(0), *([F.lit("")] * (2 if level == "ward" else 3)))
-    answers = best.groupBy("id").agg(F.min("way").alias("way"))
-    answers = cases.select("id").join(answers, "id", "left").withColumn("way", F.least("way", start))
+        left = way(F.col("way.cost") + MISSING, F.col("way.less"), *(F.col(f"way.{k}") for k in levels[:n]), F.lit(""))
+        found = found.withColumn("way", F.when(own, taken).when(F.col("way").isNotNull(), left)).drop("before")
+    answers = found.groupBy("id").agg(F.min("way").alias("way"))
+    answers = cases.select("id").join(answers, "id", "left").withColumn("way", F.least("way", blank(len(levels))))
     return answers.select("id", *(F.nullif(F.col(f"way.{k}"), F.lit("")).alias(k) for k in FIELDS))
 
 

@@ -130,3 +130,25 @@ def test_numbered_texts_make_few_rows(spark):
     names = spark.createDataFrame([(k, n, n) for k in LISTS for n in ("machinery", "france")], "kind string, name string, norm string")
     plan = address.near(parts, names)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Generate" not in plan
+
+
+def test_levels_share_their_rows(spark):
+    """Each level has one running minimum, and runs of words are made twice: distinct ones, and those of the texts. Before, each level made them anew for both of its ways."""
+    cases = spark.createDataFrame([(1, "12 Lê Lợi Hoàn Kiếm Phú Thọ")], "id int, text string")
+    answers = address.segmented(cases, gazetteer(spark))
+    plan = answers._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 2 and plan.count("Generate explode(sequence((lo") == 2
+    assert answers.collect() == [(1, "Phú Thọ", "Hoàn Kiếm", "Lê Lợi")]
+
+
+def test_runs_of_any_length_of_name(spark):
+    """Runs that are too short or too long for every name are left out; the lengths next to these are not."""
+    names = spark.createDataFrame([("province", "abcdefghijkl"), ("ward", "mnopqrstuvwx"), ("street", "yz01234yz5ab")], "kind string, name string")
+    texts = ["abcdefghi", "abcdefghijklabc", "mnopqrstuvwxmno", "mnopqrstu abcdefghijklabc", "abcdefgh", "abcdefghijklabcd"]
+    cases = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: (r.province, r.ward, r.street) for r in address.segmented(cases, names).collect()}
+    p, w = "abcdefghijkl", "mnopqrstuvwx"
+    # of nine letters two edits are allowed, of fifteen three
+    assert got == {0: (None,) * 3, 1: (p, None, None), 2: (None, w, None), 3: (p, None, None), 4: (None,) * 3, 5: (None,) * 3}
+    none = address.segmented(cases, names.limit(0)).collect()
+    assert len(none) == len(texts) and all(r[1:] == (None, None, None) for r in none)
