@@ -1,6 +1,7 @@
 """Vector search, similarity join, components and the pipeline, against brute force."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -261,6 +262,22 @@ def test_components(spark, monkeypatch, one_task):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """Before, they stayed until the driver's JVM collected its garbage."""
+    files = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    for own in (None, "false"):
+        spark.conf.unset(common.FREED) if own is None else spark.conf.set(common.FREED, own)
+        before, made = files(), []
+        found = common.stored(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "counts", made)
+        end = time.time() + 5
+        while files() - before and time.time() < end:
+            time.sleep(0.2)
+        assert not files() - before
+        assert found.count() == 100 and spark.conf.get(common.FREED, None) == own
+        common.remove(spark, made)
+    spark.conf.unset(common.FREED)
+
+
 def test_pipeline(spark):
     """Every stage on its predecessor's rows, held against what the stage should keep, and packed tokens against the texts."""
     import public_tokenizers
