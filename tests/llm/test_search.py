@@ -161,6 +161,18 @@ def test_answers_of_similar_sets():
         assert got == want and want
 
 
+def test_blocks_of_near_copies_are_small():
+    """A block goes to each of its meetings; before, it went as its sets' hashes, eight bytes each."""
+    g = np.random.default_rng(6)
+    some = lambda n: np.unique(g.integers(0, 1 << 64, n, np.uint64))
+    base = some(400)
+    near = [np.unique(np.append(np.delete(base, g.integers(0, len(base), 10)), some(10))) for _ in range(300)]
+    for sets, most in ((near, 0.1), ([some(n) for n in (1, 30, 500)] + [base], 1.1)):
+        found = jaccard_join.pack_sets(sets)
+        assert all(np.array_equal(x, y) for x, y in zip(jaccard_join.unpack_sets(*found), sets, strict=True))
+        assert sum(map(len, found)) < most * 8 * sum(map(len, sets))
+
+
 def test_sql_of_the_join(spark, tmp_path):
     import duckdb
 
@@ -262,6 +274,14 @@ def test_components(spark, monkeypatch, one_task):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_numbers_in_few_bytes():
+    g = np.random.default_rng(7)
+    for x in (np.zeros(0, np.uint32), g.integers(0, 1 << 64, 999, np.uint64), g.integers(-(1 << 62), 1 << 62, 999), np.array([1 << 32, -1])):
+        assert np.array_equal(common.unpacked(common.packed(x), x.dtype), x)
+    h = np.sort(g.integers(0, 1 << 32, 1 << 21, np.uint32))
+    assert len(common.packed(np.diff(h, prepend=np.uint32(0)))) < 0.45 * h.nbytes
+
+
 def test_stored_tables_leave_no_shuffle_files(spark):
     """Before, they stayed until the driver's JVM collected its garbage."""
     files = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
